@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from sparkassay.llm.common import documents
 
 MARK = "▁"
-_KEPT = 300_000
+_KEPT = 500_000
 _NORMAL, _CONTROL, _USER, _BYTE = 1, 3, 4, 6  # fixed values: piece types of the model file
 
 
@@ -117,6 +117,12 @@ class Codec:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, str]] = {}
+        self.names = {p: str(i) for p, i in m.ids.items()}
+        self.chars = {p for p in m.ids if len(p) == 1}
+        one = "".join(map(re.escape, sorted(self.chars)))
+        self.split = re.compile(f"([{one}]+)|([^{one}]+)")
+        #: the longest entry that is a shorter beginning of an entry
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in m.ids), None) for p in m.ids}
         self.chunks = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def compatible(self, a: str, b: str) -> bool:
@@ -130,53 +136,49 @@ class Codec:
 
     def _word(self, word: str) -> list[str]:
         """Backtracking over one word all of whose characters are entries."""
-        ends: list[list[int]] = [[] for _ in word]  # by first character: lengths of matches, shortest first
+        longest = {}  # by start; matches come by their end, so the last for a start is the longest
         for last, length in self.automaton.iter(word):
-            ends[last - length + 1].append(length)
-        n, at, out, failed = len(word), 0, [], 0
-        tries = [sorted(e) for e in ends]
-        todo = [list(tries[0])]
-        while at < n:
-            while todo[-1]:
-                length = todo[-1].pop()
-                token, to = word[at : at + length], at + length
-                if not failed >> to & 1 and (not out or self.compatible(out[-1], token)):
-                    out.append(token)
-                    at = to
-                    todo.append(list(tries[at]) if at < n else [])
-                    break
-            else:
-                # Nothing fits from here after the token to the left, however it was reached.
+            longest[last - length + 1] = length
+        pairs, shorter = self.pairs, self.shorter
+        n, at, failed, left, out = len(word), 0, 0, "", []
+        token = word[: longest[0]]
+        while True:
+            to = at + len(token)
+            if not failed >> to & 1 and (not left or (pairs[left, token] if (left, token) in pairs else self.compatible(left, token))):
+                out.append(token)
+                if to == n:
+                    return out
+                at, left = to, token
+                token = word[at : at + longest[at]]
+                continue
+            token = shorter.get(token)
+            while token is None:  # nothing fits here after what stands to the left
+                failed |= 1 << at
                 if not out:
                     raise ValueError(f"no encoding of {word!r}")
-                todo.pop()
-                failed |= 1 << at
-                at -= len(out.pop())
-        return out
-
-    def _chunk(self, chunk: str) -> list[int]:
-        ids, m = [], self.model
-        for known, other in re.findall(self._split(), chunk):
+                token = out.pop()
+                at -= len(token)
+                left = out[-1] if out else ""
+                token = shorter.get(token)
+
+    def _chunk(self, chunk: str) -> tuple[int, str]:
+        name = self.names
+        if self.chars.issuperset(chunk):
+            tokens = self._word(chunk) if chunk[-1] != MARK else self.model.merged(chunk)
+            return len(tokens), " ".join([name[t] for t in tokens])
+        ids: list[str] = []
+        for known, other in self.split.findall(chunk):
             if other:
-                ids += [m.bytes[b] for b in other.encode("utf-8", "surrogatepass")]
-            elif known.strip(MARK) == "":
-                ids += [m.ids[p] for p in m.merged(known)]
+                ids += [str(self.model.bytes[b]) for b in other.encode("utf-8", "surrogatepass")]
             else:
-                ids += [m.ids[p] for p in self._word(known)]
-        return ids
-
-    def _split(self) -> re.Pattern:
-        if not hasattr(self, "_known_chars"):
-            chars = "".join(re.escape(p) for p in self.model.ids if len(p) == 1)
-            self._known_chars = re.compile(f"([{chars}]+)|([^{chars}])")
-        return self._known_chars
+                ids += [name[t] for t in (self._word(known) if known[-1] != MARK else self.model.merged(known))]
+        return len(ids), " ".join(ids)
 
     def chunk(self, chunk: str) -> tuple[int, str]:
         """Number of ids, and the ids joined by spaces, of one word with the marks before it."""
         found = self.known.get(chunk)
         if found is None:
-            ids = self._chunk(chunk)
-            found = len(ids), " ".join(map(str, ids))
+            found = self._chunk(chunk)
             if len(chunk) <= 64:
                 if len(self.known) >= _KEPT:
                     self.known.clear()
