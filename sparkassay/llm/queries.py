@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkassay.llm import exact, mixing, pieces, secrets, simhash, tokens
+from sparkassay.llm import ann, exact, mixing, pieces, secrets, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -67,8 +71,8 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op5_simhash, op7_exact_dedup, op8_sentencepiece, op9_mix_sources, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_nearest, op2_token_counts, op5_simhash, op7_exact_dedup, op8_sentencepiece, op9_mix_sources, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": EXACT_SQL, "op9_mix_sources": mixing.MIXING_SQL, "op10_secret_scan": SECRETS_SQL}
+    return {"op1_nearest": ann.NEAREST_SQL, "op7_exact_dedup": EXACT_SQL, "op9_mix_sources": mixing.MIXING_SQL, "op10_secret_scan": SECRETS_SQL}
