@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkassay.llm import ann, exact, mixing, pieces, secrets, simhash, tokens
+from sparkassay.llm import ann, exact, html, mixing, pieces, quality, secrets, simhash, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_substrings(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -71,7 +83,7 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_nearest, op2_token_counts, op5_simhash, op7_exact_dedup, op8_sentencepiece, op9_mix_sources, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_quality, op4_html_text, op5_simhash, op6_repeated_substrings, op7_exact_dedup, op8_sentencepiece, op9_mix_sources, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
