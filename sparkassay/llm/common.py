@@ -47,9 +47,18 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only (id, text) under fixed names, so other columns of any name cannot clash; null text is empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Only (doc_id, text, row) under fixed names, so other columns of any name cannot clash; null text is empty.
+
+    ``row`` tells rows apart that repeat an id: ``row_col``, or the place in the scan.
+    """
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row.alias("row"))
+
+
+def only_rows(docs: DataFrame, kept: DataFrame, row_col: str) -> DataFrame:
+    """The rows of ``docs`` whose ``row_col`` is in ``kept``'s column row, without that column."""
+    return docs.join(kept.select(F.col("row").alias(row_col)), row_col, "left_semi").drop(row_col)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

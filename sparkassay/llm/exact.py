@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm.common import documents, staged
+from sparkassay.llm.common import documents, only_rows, staged
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 918273645)
@@ -73,8 +73,8 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data = [_normal(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("rid"), pa.array([polynomial(d) for d in data], pa.int64()), pa.array([len(d) for d in data], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data])],
-            names=["doc_id", "rid", "fp", "n_bytes", "sha"],
+            [batch.column("doc_id"), batch.column("row"), pa.array([polynomial(d) for d in data], pa.int64()), pa.array([len(d) for d in data], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data])],
+            names=["doc_id", "row", "fp", "n_bytes", "sha"],
         )
 
 
@@ -91,17 +91,17 @@ def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["fp", "n_bytes", "sha"])
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document row: doc_id, keep_id, group_size, kept, text_sha256, row.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, and empty texts equal each
     other.  Of equal texts the row with the largest doc_id is kept (a null id counts as smallest; of rows
     that repeat the id, one).  An empty table gives an empty result.
     """
     key = ["fp", "n_bytes"]
-    plain = documents(docs, id_col, text_col)
-    rows = staged(plain.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_marks, "doc_id long, rid long, fp long, n_bytes long, sha string"), "marks")
-    size = [F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("top")]
+    plain = documents(docs, id_col, text_col, row_col)
+    rows = staged(plain.mapInArrow(_marks, "doc_id long, row long, fp long, n_bytes long, sha string"), "marks")
+    size = [F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("top")]
     groups = rows.groupBy(*key).agg(*size)
     several = groups.filter("group_size > 1").select(*key, "group_size", F.col("top.doc_id").alias("keep_id"))
     texts = staged(plain.mapInArrow(_with_text, "doc_id long, fp long, n_bytes long, data binary").join(several, key).withColumn("salts", F.ceil(F.col("group_size") / SALT).cast("int")), "members")
@@ -114,4 +114,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         key = [*key, "odd"]
         rows = rows.join(odd.distinct().withColumn("odd", F.col("sha")), ["fp", "n_bytes", "sha"], "left").fillna("", "odd")
         groups = rows.groupBy(*key).agg(*size)
-    return rows.join(groups, key).select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return rows.join(groups, key).select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), F.col("sha").alias("text_sha256"), "row")
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that exact_duplicates keeps, with all their columns."""
+    numbered = docs.withColumn("__exact_row", F.monotonically_increasing_id())
+    found = exact_duplicates(numbered, id_col, text_col, "__exact_row")
+    return only_rows(numbered, found.filter("kept"), "__exact_row")

@@ -130,7 +130,7 @@ def _scored(table: np.ndarray, bias: float, threshold: float):
         wide = table.astype(np.float64)
         for batch in batches:
             s = [score(t, wide, bias) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "row", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "score", "predicted"])
 
     return run
 
@@ -167,5 +167,17 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held out).  An empty table gives an empty result.
     """
     table, bias = train(docs, labels, id_col, text_col, label_col)
-    plain = documents(docs, id_col, text_col).withColumn("row", F.lit(0))
-    return plain.mapInArrow(_scored(table, bias, threshold), "doc_id long, row int, score double, predicted int").select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    plain = documents(docs, id_col, text_col).drop("row")
+    return plain.mapInArrow(_scored(table, bias, threshold), "doc_id long, score double, predicted int").select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns."""
+    table, bias = train(docs, labels, id_col, text_col, label_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = table.astype(np.float64)
+        for batch in batches:
+            yield batch.filter(pa.array([score(t or "", wide, bias) >= threshold for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm.common import connected_components, documents, staged
+from sparkassay.llm.common import connected_components, documents, only_rows, staged
 
 MAX_BITS = 4
 RUN = 4096
@@ -127,7 +127,7 @@ def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(found)], names=["doc_id", "row", "fp"])
 
     return run
 
@@ -266,18 +266,25 @@ def _compare_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(key, fp)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept, row.
 
     Text is lower-cased A-Z, words are runs of anything but space and tab to carriage return, shingles are
     ``words`` words (all words, if fewer); texts without words, empty or null, have fingerprint zero and are
-    linked like any other.  ``component_id`` is the smallest doc_id reachable over links, null ids apart.
-    Repeated rows each get their row.  An empty table gives an empty result.
+    linked like any other.  ``component_id`` is the smallest doc_id reachable over links, null ids apart, and
+    the row that has it is kept (of rows that repeat it, one).  An empty table gives an empty result.
     """
-    marked = staged(documents(docs, id_col, text_col).mapInArrow(_fingerprints(words), "doc_id long, fp long"), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    marked = staged(documents(docs, id_col, text_col, row_col).mapInArrow(_fingerprints(words), "doc_id long, row long, fp long"), "fingerprints")
+    distinct = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least"))
     parts = staged(connected_components(links(distinct)), "components")
     rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.groupBy("root").agg(F.min("least").alias("top"))
+    by_fp = rooted.join(named, "root").select("fp", "top")
+    return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), "row")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """One row of each component, with all its columns."""
+    numbered = docs.withColumn("__near_row", F.monotonically_increasing_id())
+    found = near_duplicates(numbered, id_col, text_col, words, "__near_row")
+    return only_rows(numbered, found.filter("kept"), "__near_row")

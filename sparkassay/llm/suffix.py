@@ -384,7 +384,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty result.
     """
     spark = docs.sparkSession
-    rows = documents(docs, id_col, text_col).withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    rows = documents(docs, id_col, text_col).drop("row").withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(20_000, max(8, -(-size // BUCKET))))
     name = f"sparkassay_texts_{uuid.uuid4().hex}"
