@@ -102,7 +102,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     plain = documents(docs, id_col, text_col, row_col)
     rows = staged(plain.mapInArrow(_marks, "doc_id long, row long, fp long, n_bytes long, sha string"), "marks")
     size = [F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("top")]
-    groups = rows.groupBy(*key).agg(*size)
+    # Staged tables have no partitioning of their own: joins with them can be split where a key is hot.
+    groups = staged(rows.groupBy(*key).agg(*size), "groups")
     several = groups.filter("group_size > 1").select(*key, "group_size", F.col("top.doc_id").alias("keep_id"))
     texts = staged(plain.mapInArrow(_with_text, "doc_id long, fp long, n_bytes long, data binary").join(several, key).withColumn("salts", F.ceil(F.col("group_size") / SALT).cast("int")), "members")
     top = texts.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
@@ -113,7 +114,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not odd.isEmpty():
         key = [*key, "odd"]
         rows = rows.join(odd.distinct().withColumn("odd", F.col("sha")), ["fp", "n_bytes", "sha"], "left").fillna("", "odd")
-        groups = rows.groupBy(*key).agg(*size)
+        groups = staged(rows.groupBy(*key).agg(*size), "groups")
     return rows.join(groups, key).select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), F.col("sha").alias("text_sha256"), "row")
 
 
