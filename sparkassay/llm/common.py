@@ -67,15 +67,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Alternating large-star and small-star rounds: each node's neighbours are hung below the least of
     them.  Rounds needed grow with the logarithm of the longest chain; every round is two aggregates
     with map-side combination and two joins that adaptive execution can split, so a hub is no
-    bottleneck.  Each round is staged.  No node outside ``edges`` is returned.
+    bottleneck.  Each step is staged.  No node outside ``edges`` is returned.
     """
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # Minima are staged so that the joins, free of their partitioning, can be split at a hub.
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = staged(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         hung = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = staged(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         mark, before = _mark(after), mark

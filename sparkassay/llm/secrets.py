@@ -106,7 +106,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule]
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (f"{r.kind}:{r.version}", i)])
     known = known.withColumn("place", F.element_at(order, F.concat_ws(":", "rule", "version"))).filter(F.col("place").isNotNull() & (F.size("spans") > 0))
     hits = known.select("blob", "rule", "place", F.explode("spans").alias("s")).groupBy("blob").agg(F.collect_list(F.struct(F.col("s.start").alias("start"), "place", F.col("s.end").alias("end"), F.col("rule").alias("kind"))).alias("found"))
-    found = rows.select("doc_id", "blob").join(hits.select("blob", F.array_sort("found").alias("found")), "blob", "left")
+    hits = staged(hits.select("blob", F.array_sort("found").alias("found")), "hits")  # so that the join can be split at a hot blob
+    found = rows.select("doc_id", "blob").join(hits, "blob", "left")
     return found.select("doc_id", "blob", F.coalesce("found", F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")).alias("found")), new
 
 

@@ -278,7 +278,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least"))
     parts = staged(connected_components(links(distinct)), "components")
     rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = staged(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("top"))
+    named = staged(named, "named")
     by_fp = rooted.join(named, "root").select("fp", "top")
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), "row")
 

@@ -392,17 +392,18 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts.write.bucketBy(buckets, "key").option("path", new_path(spark, "texts")).saveAsTable(name)
     texts = spark.table(name)
     marked = staged(texts.select("key", "text").mapInArrow(_anchored, "anchor long, key binary, first long, last long, times long"), "anchors")
-    several = marked.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor")
+    # Staged tables have no partitioning of their own: joins with them can be split where a key is hot.
+    several = staged(marked.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor"), "several")
     hits = marked.join(several, "anchor", "left_semi").groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("hits"))
     cut = staged(texts.select("key", "text").join(hits, "key").mapInArrow(_cut, "anchor long, cid binary, key binary, first long, last long, context binary"), "contexts")
-    once = cut.groupBy("cid").agg(F.first("anchor").alias("anchor"), F.first("context").alias("context"), F.count("*").alias("n"))
+    once = staged(cut.groupBy("cid").agg(F.first("anchor").alias("anchor"), F.first("context").alias("context"), F.count("*").alias("n")), "once")
     shards = once.select("anchor", "cid", "context").repartition("anchor").sortWithinPartitions("anchor")
     solved = shards.mapInArrow(_sharded, f"cid binary, spans {_SPANS}")
-    equal = cut.groupBy("cid").agg(F.count("*").alias("n"))
-    found = cut.select("cid", "key", "first", "last").join(solved.join(equal, "cid"), "cid")
+    solved = staged(solved.join(once.select("cid", "n"), "cid"), "solved")
+    found = cut.select("cid", "key", "first", "last").join(solved, "cid")
     whole = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
     shifted = F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))
     starts = found.select("key", F.when(F.col("n") > 1, whole).otherwise(shifted).alias("s")).filter(F.size("s") > 0)
     starts = starts.groupBy("key").agg(F.flatten(F.collect_list("s")).alias("starts"))
     judged = texts.join(starts, "key", "left").select("key", "text", "copies", "starts").mapInArrow(_judged, f"key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {_SPANS}")
-    return rows.select("doc_id", "key").join(judged, "key").drop("key")
+    return rows.select("doc_id", "key").join(staged(judged, "judged"), "key").drop("key")
