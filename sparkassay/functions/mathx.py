@@ -19,6 +19,11 @@ _QE = (6.65790464350110377720e0, 5.46378491116411436990e0, 1.7848265399172913358
 _QF = (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15)
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def polynomial(x: Column, high_first: tuple[float, ...]) -> Column:
     out = F.lit(high_first[0])
     for c in high_first[1:]:
@@ -40,6 +45,10 @@ def normal_cdf(z: Column) -> Column:
 
 def normal_quantile(p: Column) -> Column:
     """Inverse of the normal distribution function for 0 < p < 1."""
+    return once(p, _quantile)
+
+
+def _quantile(p: Column) -> Column:
     rational = lambda x, top, below: polynomial(x, top[::-1]) / polynomial(x, below[::-1])
     q = p - F.lit(0.5)
     middle = q * rational(F.lit(0.180625) - q * q, _QA, _QB)

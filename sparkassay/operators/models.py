@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -70,8 +71,13 @@ def balanced(df: DataFrame, response: str) -> DataFrame:
 
 def _linear(df, features, response, alpha=1.0, mix=0.0, **_):
     """Ridge penalties are per row here, so alpha is divided by the row count; Lasso's already is per row."""
-    reg = alpha if mix else alpha / max(1, df.count())
-    m = R.LinearRegression(featuresCol="__x", labelCol=response, regParam=reg, elasticNetParam=mix, standardization=False, solver="auto", maxIter=300).fit(df)
+    if mix:
+        reg, solver = alpha, "auto"
+    else:
+        # The solver divides a squared penalty by the response's deviation; undo that.
+        x = df.agg(F.count("*").alias("n"), F.stddev_pop(response).alias("s")).first()
+        reg, solver = alpha / max(1, x["n"]) * (x["s"] or 1.0), "normal"
+    m = R.LinearRegression(featuresCol="__x", labelCol=response, regParam=reg, elasticNetParam=mix, standardization=False, solver=solver, maxIter=300).fit(df)
     return Fitted(m, features, False)
 
 
@@ -177,8 +183,11 @@ def _fourier(df, features, gamma: float, count: int = 128):
     rng = np.random.default_rng(SEED)
     w, b = rng.normal(0, np.sqrt(2 * gamma), (count, d)), rng.uniform(0, 2 * np.pi, count)
 
-    def lift(v: Column) -> Column:
-        return F.array(*[F.cos(dot(v, w[i]) + F.lit(float(b[i]))) * F.lit(float(np.sqrt(2 / count))) for i in range(count)])
+    @F.pandas_udf("array<double>")
+    def lift(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.cos(np.stack(v.to_list()) @ w.T + b) * np.sqrt(2 / count)))
 
     return lift
 
@@ -193,16 +202,18 @@ class _Lifted:
 
 def _svc(df, features, response, gamma=0.1, C_=1.0, **_):
     lift = _fourier(df, features, gamma)
-    rows = balanced(df.withColumn("__x", array_to_vector(lift(F.col(features)))), response)
+    rows = balanced(df.withColumn("__x", array_to_vector(lift(F.col(features)))), response).persist()
     m = C.LinearSVC(featuresCol="__x", labelCol=response, weightCol="__w", regParam=1 / (C_ * rows.count())).fit(rows)
+    rows.unpersist()
     return Fitted(_Lifted(m, lift, features), features, True)
 
 
 def _svr(df, features, response, gamma=0.1, C_=1.0, **_):
     """Robust (Huber) loss on lifted features stands for the insensitive tube."""
     lift = _fourier(df, features, gamma)
-    rows = df.withColumn("__x", array_to_vector(lift(F.col(features))))
+    rows = df.withColumn("__x", array_to_vector(lift(F.col(features)))).persist()
     m = R.LinearRegression(featuresCol="__x", labelCol=response, loss="huber", regParam=1 / (C_ * rows.count()), maxIter=200).fit(rows)
+    rows.unpersist()
     return Fitted(_Lifted(m, lift, features), features, False)
 
 

@@ -169,7 +169,7 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int
         return pd.DataFrame({group: rows[group], "_fold": fold})
 
     kind = dict(df.dtypes)[group]
-    placed = counts.groupBy(F.lit(0)).applyInPandas(place, f"`{group}` {kind}, _fold int")
+    placed = counts.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(place, f"`{group}` {kind}, _fold int")
     return df.join(placed, group)
 
 
@@ -224,4 +224,4 @@ def butina(pairs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
                 out.setdefault(m, number)
         return pd.DataFrame({key: list(out), "cluster": list(out.values())})
 
-    return lists.groupBy(F.lit(0)).applyInPandas(lead, f"`{key}` {dict(keys.dtypes)[key]}, cluster int")
+    return lists.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(lead, f"`{key}` {dict(keys.dtypes)[key]}, cluster int")
