@@ -7,9 +7,9 @@ code scaled to length one.  For a query's turned residual q, <code, q> / f estim
 error of at most EPSILON * sqrt((1 - f^2) / f^2) / sqrt(d - 1) in all but a vanishing share of cases.
 
 Searching: the queries (rows whose id is divisible by ``every``) are compared with all rows in a grid of blocks.
-Within a cell of the grid the estimates give each pair a lower and an upper bound; every candidate whose upper
-bound reaches the k-th best lower bound of its query is scored exactly on the original vectors.  The k best of each
-cell are then ranked over all cells.  Bounds choose what is scored; no bucket, probe or candidate limit drops a row.
+Within a cell of the grid the estimates give each pair a lower and an upper bound.  The candidates best by lower
+bound are scored exactly first, and every candidate whose upper bound reaches the k-th of those scores is scored
+exactly on the original vectors.  The k best of each cell are then ranked over all cells.  Bounds choose what is scored; no bucket, probe or candidate limit drops a row.
 
 Blocks are dealt by a hash of the row's position, so no key or copied vector can fill one.  Copies of one vector
 within a block share one estimate, and only as many of the smallest ids as can appear in a result are scored.  A
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 CANDIDATES = 16_384  # rows of a block
 QUERIES = 4_096
 STEP = 128  # queries estimated at once
-EPSILON = 4.0
+EPSILON = 3.0
+FIRST = 32  # candidates scored to set the bar
+PAIRS = 100_000  # pairs scored at once
 SAMPLE = 4_096  # vectors that the centres are fitted on, at most
 CENTRES = 16
 SEED = 7
@@ -77,10 +79,13 @@ class Codes:
         return middle - slack, middle + slack
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision, terms added from first to last."""
-    dot, x, y = (np.add.accumulate(u * v, axis=1)[:, -1] for u, v in ((a, b), (a, a), (b, b)))
-    return dot / (np.sqrt(x) * np.sqrt(y))
+    return np.add.accumulate(a * b, axis=1)[:, -1]
+
+
+def cosine(a: np.ndarray, b: np.ndarray, a_length: np.ndarray, b_length: np.ndarray) -> np.ndarray:
+    return dots(a, b) / (a_length * b_length)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -102,21 +107,34 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     by = by[place <= k]
     members = np.split(ids[by], np.searchsorted(own[by], np.arange(1, len(first))))
     distinct, turn = vectors[first], rotation(vectors.shape[1])
-    counts = np.array([len(m) for m in members])
+    counts, leads = np.array([len(m) for m in members]), np.array([m[0] for m in members])
     codes = Codes(_unit(distinct), centres, turn)
-    unit = _unit(queries)
+    unit, asked, lengths = _unit(queries), np.sqrt(dots(queries, queries)), np.sqrt(dots(distinct, distinct))
     out = []
     for at in range(0, len(queries), STEP):
         low, high = codes.bounds(unit[at : at + STEP], centres, turn)
-        # At most k + 1 distinct vectors are needed: the query's own id may be one of them.
-        need = min(k + 1, low.shape[1])
-        least = np.partition(low, low.shape[1] - need, axis=1)[:, low.shape[1] - need]
-        row, col = np.nonzero(high >= least[:, None])
-        for b in range(0, len(row), 200_000):
-            r, c = row[b : b + 200_000], col[b : b + 200_000]
-            score = cosine(queries[at + r], distinct[c])
+        # At most k + 1 distinct vectors are needed: the query's own id may be one of them.  The best few by
+        # estimate are scored first; the (k + 1)-th of their scores is the bar that upper bounds must reach.
+        need, few = min(k + 1, low.shape[1]), min(FIRST, low.shape[1])
+        tried = np.argpartition(low, low.shape[1] - few, axis=1)[:, low.shape[1] - few :]
+        row = np.repeat(np.arange(len(low)), few)
+        score = cosine(queries[at + row], distinct[tried.ravel()], asked[at + row], lengths[tried.ravel()]).reshape(len(low), few)
+        bar = np.partition(score, few - need, axis=1)[:, few - need]
+        row, col = np.nonzero(high >= (bar - 1e-6)[:, None].astype(np.float32))
+        for b in range(0, len(row), PAIRS):
+            r, c = row[b : b + PAIRS], col[b : b + PAIRS]
+            score = cosine(queries[at + r], distinct[c], asked[at + r], lengths[c])
+            keep = score >= bar[r]
+            r, c, score = r[keep], c[keep], score[keep]
+            # Vectors rank by score, then smallest id; only the first k + 1 of a query can give a result.
+            order = np.lexsort((leads[c], -score, r))
+            r, c, score = r[order], c[order], score[order]
+            start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else r
+            place = np.arange(len(r)) - np.repeat(start, np.diff(np.append(start, len(r))))
+            r, c, score = (x[place <= k] for x in (r, c, score))
             n = counts[c]
-            out.append((np.repeat(query_ids[at + r], n), np.concatenate([members[x] for x in c]), np.repeat(score, n)))
+            if len(c):
+                out.append((np.repeat(query_ids[at + r], n), np.concatenate([members[x] for x in c]), np.repeat(score, n)))
     found = pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
     found = found[found.query_id != found.vec_id].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
     return found[found.groupby("query_id").cumcount() < k]
