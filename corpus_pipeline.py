@@ -20,7 +20,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates on five-word shingles, the row with the smallest doc_id stays."""
+    """Of each group of documents alike by 0.8 or more on five-word shingles, the row with the smallest doc_id stays."""
     return simhash.without_near_duplicates(docs, words=5)
 
 

@@ -40,11 +40,16 @@ _LANES = np.uint64(0x0101010101010101)
 
 def fingerprint(text: str, words: int = 4) -> int:
     """64-bit SimHash of one whole text; 0 if it has no words."""
+    return fingerprints(text, words, 1)[0]
+
+
+def fingerprints(text: str, words: int, tables: int) -> list[int]:
+    """The SimHash, and further ones over the same hashes mixed anew."""
     import xxhash
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return [0] * tables
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -54,6 +59,16 @@ def fingerprint(text: str, words: int = 4) -> int:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    out = [_majority(hashes)]
+    for _ in range(tables - 1):
+        hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+        out.append(_majority(hashes))
+    return out
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     n = len(hashes)
     # Bit counts: eight byte lanes at a time, summed in rows of 255 so that no lane overflows.
     padded = np.zeros(-(-n // 255) * 255, np.uint64)
@@ -123,11 +138,11 @@ def segment_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _fingerprints(words: int):
+def _fingerprints(words: int, tables: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(found)], names=["doc_id", "row", "fp"])
+            found = np.array([fingerprints(t, words, tables) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64).reshape(-1, tables)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array(np.ascontiguousarray(found[:, t])) for t in range(tables))], names=["doc_id", "row", *(f"fp{t or ''}" for t in range(tables))])
 
     return run
 
@@ -141,11 +156,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], names=["key", "fp"])
 
 
-def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= MAX_BITS
+def _close(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= bits
 
 
-def forest(values: np.ndarray) -> tuple[list, list]:
+def forest(values: np.ndarray, bits: int = MAX_BITS) -> tuple[list, list]:
     """Links that connect exactly what all links within one run connect."""
     left, right = [], []
     rest = np.unique(values)
@@ -153,7 +168,7 @@ def forest(values: np.ndarray) -> tuple[list, list]:
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             node = todo.pop()
-            near = _close(rest, node)
+            near = _close(rest, node, bits)
             if near.any():
                 found = rest[near]
                 left.append(np.full(len(found), node))
@@ -163,15 +178,16 @@ def forest(values: np.ndarray) -> tuple[list, list]:
     return left, right
 
 
-def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among whole runs of equal keys (sorted)."""
+def _links(key: np.ndarray, fp: np.ndarray, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Links among whole runs of equal keys (sorted): a forest for each level of bits in long runs, all in short ones."""
     left, right = [], []
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     length = np.diff(np.concatenate((first, [len(key)])))
     for at, n in zip(first[length > 16].tolist(), length[length > 16].tolist(), strict=True):
-        a, b = forest(fp[at : at + n])
-        left += a
-        right += b
+        for bits in levels:
+            a, b = forest(fp[at : at + n], bits)
+            left += a
+            right += b
     small = np.repeat(length <= 16, length)
     end = np.repeat(first + length, length)
     at = np.flatnonzero(small)
@@ -179,7 +195,7 @@ def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = at[at + apart < end[at]]
         if not len(at):
             break
-        near = _close(fp[at], fp[at + apart])
+        near = _close(fp[at], fp[at + apart], levels[-1])
         left.append(fp[at[near]])
         right.append(fp[at[near] + apart])
     none = np.array([], np.int64)
@@ -190,7 +206,15 @@ def _nulls(n: int) -> np.ma.MaskedArray:
     return np.ma.masked_all(n, np.int64)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _comparer(levels: tuple[int, ...]):
+    return lambda batches: _compare(batches, levels)
+
+
+def _block_comparer(levels: tuple[int, ...]):
+    return lambda batches: _compare_all(batches, levels)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], levels: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """Sorted (key, fp) -> links (a, b), or members of over-long runs with the number of their block."""
 
     def out(key, a, b, block):
@@ -198,7 +222,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def links(key, fp):
         if len(key):
-            a, b = _links(key, fp)
+            a, b = _links(key, fp, levels)
             if len(a):
                 yield out(np.zeros(len(a), np.int64), a, b, np.full(len(a), -1))
 
@@ -232,10 +256,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FOUND = "key long, a long, b long, block int"
 
 
-def links(fingerprints: DataFrame) -> DataFrame:
-    """(fp) distinct fingerprints -> (a, b) links that connect all fingerprints within MAX_BITS."""
+def links(fingerprints: DataFrame, levels: tuple[int, ...] = (MAX_BITS,)) -> DataFrame:
+    """(fp) distinct fingerprints -> (a, b) links that connect all fingerprints within MAX_BITS.
+
+    With a last level above MAX_BITS, also those further apart, up to that level, that happen to share a key.
+    """
     keyed = fingerprints.select("fp").mapInArrow(_keys, "key long, fp long")
-    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, _FOUND), "links")
+    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(levels), _FOUND), "links")
     near = found.filter("block < 0").select("a", "b")
     heavy = found.filter("block >= 0").select("key", F.col("a").alias("fp"), "block")
     if not heavy.isEmpty():
@@ -243,16 +270,16 @@ def links(fingerprints: DataFrame) -> DataFrame:
         blocks = heavy.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
         pairs = heavy.join(blocks, "key").select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         pairs = pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp").distinct()
-        near = near.unionByName(staged(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_all, _FOUND), "links").select("a", "b"))
+        near = near.unionByName(staged(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_block_comparer(levels), _FOUND), "links").select("a", "b"))
     return near.distinct()
 
 
-def _compare_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_all(batches: Iterator[pa.RecordBatch], levels: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """As _compare for groups known to hold two blocks at most."""
     key = fp = np.array([], np.int64)
 
     def out(k, f):
-        a, b = _links(k, f)
+        a, b = _links(k, f, levels)
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int64)), pa.array(a), pa.array(b), pa.array(np.full(len(a), -1, np.int32))], names=["key", "a", "b", "block"])
 
     for batch in batches:
@@ -285,8 +312,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), "row")
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """One row of each component, with all its columns."""
+def _side(first: DataFrame, name: str) -> DataFrame:
+    return first.select(F.col("fp").alias(name), F.col("first").alias(f"row_{name}"))
+
+
+def shingle_set(text: str, words: int) -> set[bytes]:
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
+
+
+def _similar(words: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, rows = [], [], zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)
+            for x, y, s, t in rows:
+                s, t = shingle_set(s, words), shingle_set(t, words)
+                both = len(s & t)
+                if both >= least * (len(s) + len(t) - both):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+#: Bits apart at which candidates for a similarity are sought; 14 of 64 is where a similarity of 0.8 runs out.
+LEVELS = (4, 8, 11, 14)
+TABLES = 2  # independent fingerprints searched, so that a pair missed by one can be met by the other
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, component_id, kept, row, with links verified on the texts.
+
+    Candidates are fingerprints up to the last of LEVELS bits apart that share a key (always, up to four bits;
+    beyond that with falling chance), and documents of equal fingerprints, each with the first of them.  A candidate
+    is a link if the Jaccard similarity of its shingle sets reaches ``similarity``; texts without words are
+    alike.  Of each component the row with the smallest doc_id is kept.
+    """
+    plain = documents(docs, id_col, text_col, row_col)
+    marked = staged(plain.mapInArrow(_fingerprints(words, TABLES), "doc_id long, row long" + "".join(f", fp{t or ''} long" for t in range(TABLES))), "fingerprints")
+    pairs = None
+    for t in range(TABLES):
+        table = marked.select("doc_id", "row", F.col(f"fp{t or ''}").alias("fp"))
+        first = staged(table.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least")).select("fp", F.col("least.row").alias("first")), "first")
+        near = staged(links(first, LEVELS), "near")
+        met = near.join(_side(first, "a"), "a").join(_side(first, "b"), "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+        same = table.join(first, "fp").filter("row <> first").select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b"))
+        pairs = met.unionByName(same) if pairs is None else pairs.unionByName(met).unionByName(same)
+    pairs = staged(pairs.distinct(), "pairs")
+    nodes = staged(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "nodes")
+    texts = staged(plain.select("row", "text").join(nodes, "row"), "texts")
+    text = lambda name: texts.select(F.col("row").alias(name), F.col("text").alias(f"text_{name}"))
+    linked = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, similarity), "a long, b long")
+    parts = staged(connected_components(linked), "components")
+    rooted = staged(marked.select("doc_id", "row").join(parts.withColumnRenamed("node", "row"), "row", "left").select("doc_id", "row", F.coalesce("root", "row").alias("root")), "rooted")
+    top = staged(rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("top")), "top")
+    return rooted.join(top, "root").select("doc_id", F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), "row")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of similar documents, with all its columns."""
     numbered = docs.withColumn("__near_row", F.monotonically_increasing_id())
-    found = near_duplicates(numbered, id_col, text_col, words, "__near_row")
+    found = similar_groups(numbered, id_col, text_col, words, similarity, "__near_row")
     return only_rows(numbered, found.filter("kept"), "__near_row")
