@@ -178,24 +178,52 @@ def forest(values: np.ndarray, bits: int = MAX_BITS) -> tuple[list, list]:
     return left, right
 
 
-def _links(key: np.ndarray, fp: np.ndarray, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Links among whole runs of equal keys (sorted): a forest for each level of bits in long runs, all in short ones."""
+def shortest_tree(values: np.ndarray, bits: int) -> tuple[list, list]:
+    """The spanning forest of least distances within one run, links over ``bits`` left out.
+
+    Ties are broken by the two values, so a link of the whole group's tree is also one of each run's that holds
+    both ends: runs of one group give mostly the same links.
+    """
+    rest = np.unique(values)
+    left, right = [], []
+    node, rest = rest[0], rest[1:]
+    far = np.full(len(rest), 65, np.int64)
+    low, high = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
+    while len(rest):
+        d = np.bitwise_count((rest ^ node).view(np.uint64)).astype(np.int64)
+        a, b = np.minimum(rest, node), np.maximum(rest, node)
+        nearer = (d < far) | (d == far) & ((a < low) | (a == low) & (b < high))
+        far, low, high = np.where(nearer, d, far), np.where(nearer, a, low), np.where(nearer, b, high)
+        at = np.flatnonzero(far == far.min())
+        at = at[low[at] == low[at].min()]
+        i = int(at[np.argmin(high[at])])
+        if far[i] <= bits:
+            left.append(low[i : i + 1])
+            right.append(high[i : i + 1])
+        node, keep = rest[i], np.arange(len(rest)) != i
+        rest, far, low, high = rest[keep], far[keep], low[keep], high[keep]
+    return left, right
+
+
+def _links(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among whole runs of equal keys (sorted): a forest in long runs, all in short ones."""
     left, right = [], []
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     length = np.diff(np.concatenate((first, [len(key)])))
-    for at, n in zip(first[length > 16].tolist(), length[length > 16].tolist(), strict=True):
-        for bits in levels:
-            a, b = forest(fp[at : at + n], bits)
-            left += a
-            right += b
-    small = np.repeat(length <= 16, length)
+    short = 16 if bits <= MAX_BITS else 6
+    for at, n in zip(first[length > short].tolist(), length[length > short].tolist(), strict=True):
+        # Up to MAX_BITS any links that connect will do; beyond, those are wanted that a later check may pass.
+        a, b = forest(fp[at : at + n], bits) if bits <= MAX_BITS else shortest_tree(fp[at : at + n], bits)
+        left += a
+        right += b
+    small = np.repeat(length <= short, length)
     end = np.repeat(first + length, length)
     at = np.flatnonzero(small)
-    for apart in range(1, 16):
+    for apart in range(1, short):
         at = at[at + apart < end[at]]
         if not len(at):
             break
-        near = _close(fp[at], fp[at + apart], levels[-1])
+        near = _close(fp[at], fp[at + apart], bits)
         left.append(fp[at[near]])
         right.append(fp[at[near] + apart])
     none = np.array([], np.int64)
@@ -206,15 +234,15 @@ def _nulls(n: int) -> np.ma.MaskedArray:
     return np.ma.masked_all(n, np.int64)
 
 
-def _comparer(levels: tuple[int, ...]):
-    return lambda batches: _compare(batches, levels)
+def _comparer(bits: int):
+    return lambda batches: _compare(batches, bits)
 
 
-def _block_comparer(levels: tuple[int, ...]):
-    return lambda batches: _compare_all(batches, levels)
+def _block_comparer(bits: int):
+    return lambda batches: _compare_all(batches, bits)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], levels: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Sorted (key, fp) -> links (a, b), or members of over-long runs with the number of their block."""
 
     def out(key, a, b, block):
@@ -222,7 +250,7 @@ def _compare(batches: Iterator[pa.RecordBatch], levels: tuple[int, ...]) -> Iter
 
     def links(key, fp):
         if len(key):
-            a, b = _links(key, fp, levels)
+            a, b = _links(key, fp, bits)
             if len(a):
                 yield out(np.zeros(len(a), np.int64), a, b, np.full(len(a), -1))
 
@@ -256,13 +284,13 @@ def _compare(batches: Iterator[pa.RecordBatch], levels: tuple[int, ...]) -> Iter
 _FOUND = "key long, a long, b long, block int"
 
 
-def links(fingerprints: DataFrame, levels: tuple[int, ...] = (MAX_BITS,)) -> DataFrame:
+def links(fingerprints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """(fp) distinct fingerprints -> (a, b) links that connect all fingerprints within MAX_BITS.
 
-    With a last level above MAX_BITS, also those further apart, up to that level, that happen to share a key.
+    With ``bits`` above MAX_BITS, also links of up to so many among those that happen to share a key.
     """
     keyed = fingerprints.select("fp").mapInArrow(_keys, "key long, fp long")
-    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(levels), _FOUND), "links")
+    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(bits), _FOUND), "links")
     near = found.filter("block < 0").select("a", "b")
     heavy = found.filter("block >= 0").select("key", F.col("a").alias("fp"), "block")
     if not heavy.isEmpty():
@@ -270,16 +298,16 @@ def links(fingerprints: DataFrame, levels: tuple[int, ...] = (MAX_BITS,)) -> Dat
         blocks = heavy.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
         pairs = heavy.join(blocks, "key").select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         pairs = pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp").distinct()
-        near = near.unionByName(staged(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_block_comparer(levels), _FOUND), "links").select("a", "b"))
+        near = near.unionByName(staged(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_block_comparer(bits), _FOUND), "links").select("a", "b"))
     return near.distinct()
 
 
-def _compare_all(batches: Iterator[pa.RecordBatch], levels: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+def _compare_all(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """As _compare for groups known to hold two blocks at most."""
     key = fp = np.array([], np.int64)
 
     def out(k, f):
-        a, b = _links(k, f, levels)
+        a, b = _links(k, f, bits)
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int64)), pa.array(a), pa.array(b), pa.array(np.full(len(a), -1, np.int32))], names=["key", "a", "b", "block"])
 
     for batch in batches:
@@ -313,7 +341,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _side(first: DataFrame, name: str) -> DataFrame:
-    return first.select(F.col("fp").alias(name), F.col("first").alias(f"row_{name}"))
+    return first.select(F.col("fp").alias(name), F.col("first").alias(f"row_{name}"), F.col("first_other").alias(f"other_{name}"))
+
+
+def _apart(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
 def shingle_set(text: str, words: int) -> set[bytes]:
@@ -336,16 +368,17 @@ def _similar(words: int, least: float):
     return run
 
 
-#: Bits apart at which candidates for a similarity are sought; 14 of 64 is where a similarity of 0.8 runs out.
-LEVELS = (4, 8, 11, 14)
+#: Candidates for a similarity of 0.8 are up to NEAR of 64 bits apart in one table and OTHER in the other one;
+#: such texts are 10 apart on average, unrelated ones 32.
+NEAR, OTHER = 13, 19
 TABLES = 2  # independent fingerprints searched, so that a pair missed by one can be met by the other
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, component_id, kept, row, with links verified on the texts.
 
-    Candidates are fingerprints up to the last of LEVELS bits apart that share a key (always, up to four bits;
-    beyond that with falling chance), and documents of equal fingerprints, each with the first of them.  A candidate
+    Candidates are fingerprints up to NEAR bits apart that share a key (always, up to four bits; beyond that with
+    falling chance), and documents of equal fingerprints, each with the first of them.  A candidate
     is a link if the Jaccard similarity of its shingle sets reaches ``similarity``; texts without words are
     alike.  Of each component the row with the smallest doc_id is kept.
     """
@@ -353,15 +386,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = staged(plain.mapInArrow(_fingerprints(words, TABLES), "doc_id long, row long" + "".join(f", fp{t or ''} long" for t in range(TABLES))), "fingerprints")
     pairs = None
     for t in range(TABLES):
-        table = marked.select("doc_id", "row", F.col(f"fp{t or ''}").alias("fp"))
-        first = staged(table.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least")).select("fp", F.col("least.row").alias("first")), "first")
-        near = staged(links(first, LEVELS), "near")
-        met = near.join(_side(first, "a"), "a").join(_side(first, "b"), "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
-        same = table.join(first, "fp").filter("row <> first").select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b"))
+        other = (t + 1) % TABLES
+        table = marked.select("doc_id", "row", F.col(f"fp{t or ''}").alias("fp"), F.col(f"fp{other or ''}").alias("other"))
+        first = table.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "other")).alias("least"))
+        first = staged(first.select("fp", F.col("least.row").alias("first"), F.col("least.other").alias("first_other")), "first")
+        near = staged(links(first, NEAR), "near")
+        met = near.join(_side(first, "a"), "a").join(_side(first, "b"), "b").filter(_apart("other_a", "other_b") <= OTHER)
+        met = met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+        same = table.join(first, "fp").filter("row <> first").filter(_apart("other", "first_other") <= OTHER)
+        same = same.select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b"))
         pairs = met.unionByName(same) if pairs is None else pairs.unionByName(met).unionByName(same)
     pairs = staged(pairs.distinct(), "pairs")
     nodes = staged(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "nodes")
-    texts = staged(plain.select("row", "text").join(nodes, "row"), "texts")
+    texts = staged(plain.select("row", "text").join(nodes.hint("merge"), "row"), "texts")
     text = lambda name: texts.select(F.col("row").alias(name), F.col("text").alias(f"text_{name}"))
     linked = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, similarity), "a long, b long")
     parts = staged(connected_components(linked), "components")
