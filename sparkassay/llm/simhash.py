@@ -210,7 +210,7 @@ def _links(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
     left, right = [], []
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     length = np.diff(np.concatenate((first, [len(key)])))
-    short = 16 if bits <= MAX_BITS else 6
+    short = 16 if bits <= MAX_BITS else 2  # longer ones get a tree
     for at, n in zip(first[length > short].tolist(), length[length > short].tolist(), strict=True):
         # Up to MAX_BITS any links that connect will do; beyond, those are wanted that a later check may pass.
         a, b = forest(fp[at : at + n], bits) if bits <= MAX_BITS else shortest_tree(fp[at : at + n], bits)
@@ -368,9 +368,9 @@ def _similar(words: int, least: float):
     return run
 
 
-#: Candidates for a similarity of 0.8 are up to NEAR of 64 bits apart in one table and OTHER in the other one;
-#: such texts are 10 apart on average, unrelated ones 32.
-NEAR, OTHER = 13, 19
+#: Candidates for a similarity of 0.8 are up to NEAR of 64 bits apart in one table, and up to BOTH of 128 in the two
+#: together; such texts are 10 and 19 apart on average, unrelated ones 32 and 64.
+NEAR, BOTH = 13, 28
 TABLES = 2  # independent fingerprints searched, so that a pair missed by one can be met by the other
 
 
@@ -391,9 +391,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = table.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "other")).alias("least"))
         first = staged(first.select("fp", F.col("least.row").alias("first"), F.col("least.other").alias("first_other")), "first")
         near = staged(links(first, NEAR), "near")
-        met = near.join(_side(first, "a"), "a").join(_side(first, "b"), "b").filter(_apart("other_a", "other_b") <= OTHER)
+        met = near.join(_side(first, "a"), "a").join(_side(first, "b"), "b").filter(_apart("a", "b") + _apart("other_a", "other_b") <= BOTH)
         met = met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
-        same = table.join(first, "fp").filter("row <> first").filter(_apart("other", "first_other") <= OTHER)
+        same = table.join(first, "fp").filter("row <> first").filter(_apart("other", "first_other") <= BOTH)
         same = same.select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b"))
         pairs = met.unionByName(same) if pairs is None else pairs.unionByName(met).unionByName(same)
     pairs = staged(pairs.distinct(), "pairs")
