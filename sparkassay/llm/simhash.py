@@ -14,8 +14,10 @@ within 4 bits share a key pair for at least one of the three segment pairs: no l
 fingerprint is thus emitted under at most 3 x 36 keys of 24 bits.
 
 Only distinct fingerprints enter the search, so copies cost nothing.  Sharers of a key are compared in
-sorted runs; a run gives the links of a spanning forest, not all its pairs.  A run longer than ``RUN`` is
-passed on in blocks, and pairs of blocks are compared as separate groups, so no task holds an unbounded
+sorted runs; a run gives the links of a spanning forest, not all its pairs, and of those only the ones whose
+smallest shared key is the run's own.  Nothing gets disconnected: the ends of a link left out meet under a
+smaller key and are connected there, by links given there or, again, under keys smaller still.  A run longer than
+``RUN`` is passed on in blocks, and pairs of blocks are compared as separate groups, so no task holds an unbounded
 group and no pair is skipped.
 """
 
@@ -124,10 +126,15 @@ def golay() -> Golay:
     return _GOLAY[0]
 
 
+def _codewords(fingerprints: np.ndarray) -> list[np.ndarray]:
+    """The keys of each of the three segments."""
+    f = fingerprints.view(np.uint64)
+    return [golay().keys(((f >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64)) for at, bits in ((0, 23), (23, 23), (46, 18))]
+
+
 def segment_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row of the fingerprint, key) for every key pair of every segment pair."""
-    f = fingerprints.view(np.uint64)
-    cut = [golay().keys(((f >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64)) for at, bits in ((0, 23), (23, 23), (46, 18))]
+    f, cut = fingerprints, _codewords(fingerprints)
     rows, keys = [], []
     for number, (i, j) in enumerate(combinations(range(3), 2)):
         a, b = cut[i][:, :, None], cut[j][:, None, :]
@@ -138,6 +145,19 @@ def segment_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def smallest_shared_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the keys that two fingerprints share, for each pair; -1 if they share none."""
+    none = 1 << 12
+    least = []
+    for x, y in zip(_codewords(a), _codewords(b), strict=True):
+        both = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0)
+        least.append(np.where(both, x, none).min(axis=1))
+    out = np.full(len(a), -1, np.int64)
+    for number, (i, j) in reversed(list(enumerate(combinations(range(3), 2)))):
+        out = np.where((least[i] < none) & (least[j] < none), number << 24 | least[i] << 12 | least[j], out)
+    return out
+
+
 def _fingerprints(words: int, tables: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +225,9 @@ def shortest_tree(values: np.ndarray, bits: int) -> tuple[list, list]:
     return left, right
 
 
-def _links(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among whole runs of equal keys (sorted): a forest in long runs, all in short ones."""
-    left, right = [], []
+def _links(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (key, a, b) among whole runs of equal keys (sorted): a forest in long runs, all in short ones."""
+    keys, left, right = [], [], []
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     length = np.diff(np.concatenate((first, [len(key)])))
     short = 16 if bits <= MAX_BITS else 2  # longer ones get a tree
@@ -216,6 +236,7 @@ def _links(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
         a, b = forest(fp[at : at + n], bits) if bits <= MAX_BITS else shortest_tree(fp[at : at + n], bits)
         left += a
         right += b
+        keys.append(np.full(sum(map(len, a)), key[at]))
     small = np.repeat(length <= short, length)
     end = np.repeat(first + length, length)
     at = np.flatnonzero(small)
@@ -226,8 +247,9 @@ def _links(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
         near = _close(fp[at], fp[at + apart], bits)
         left.append(fp[at[near]])
         right.append(fp[at[near] + apart])
+        keys.append(key[at[near]])
     none = np.array([], np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    return (np.concatenate(keys), np.concatenate(left), np.concatenate(right)) if left else (none, none, none)
 
 
 def _nulls(n: int) -> np.ma.MaskedArray:
@@ -250,7 +272,9 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
 
     def links(key, fp):
         if len(key):
-            a, b = _links(key, fp, bits)
+            run, a, b = _links(key, fp, bits)
+            own = smallest_shared_key(a, b) == run
+            a, b = a[own], b[own]
             if len(a):
                 yield out(np.zeros(len(a), np.int64), a, b, np.full(len(a), -1))
 
@@ -307,7 +331,7 @@ def _compare_all(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
     key = fp = np.array([], np.int64)
 
     def out(k, f):
-        a, b = _links(k, f, bits)
+        _, a, b = _links(k, f, bits)
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int64)), pa.array(a), pa.array(b), pa.array(np.full(len(a), -1, np.int32))], names=["key", "a", "b", "block"])
 
     for batch in batches:

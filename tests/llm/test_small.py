@@ -139,7 +139,38 @@ def test_golay_keys_miss_no_pair():
         for b in rng.sample(range(64), rng.randint(0, 4)):
             y ^= 1 << b
         row, key = simhash.segment_keys(np.array([x, y], np.uint64).view(np.int64))
-        assert set(key[row == 0]) & set(key[row == 1])
+        shared = set(key[row == 0]) & set(key[row == 1])
+        assert shared
+        assert simhash.smallest_shared_key(*(np.array([v], np.uint64).view(np.int64) for v in (x, y)))[0] == min(shared)
+
+
+def test_links_under_smallest_keys_connect_the_same(spark):
+    rng = random.Random(8)
+    fps = set()
+    for _ in range(12):
+        now = rng.getrandbits(62)
+        for _ in range(25):  # a walk: its ends are far apart, its steps 0 to 6 bits
+            fps.add(now)
+            for b in rng.sample(range(62), rng.randint(0, 6)):
+                now ^= 1 << b
+    fps = sorted(fps)
+    got = rows(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")))
+    assert len({(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got}) == len(got)
+
+    def parts(pairs):
+        parent = {f: f for f in fps}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(f) for f in fps]
+
+    near = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4]
+    assert parts([(r["a"], r["b"]) for r in got]) == parts(near)
 
 
 def test_long_runs_are_compared_in_blocks(spark, monkeypatch):
