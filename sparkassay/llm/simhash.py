@@ -392,10 +392,10 @@ def _similar(words: int, least: float):
     return run
 
 
-#: Candidates for a similarity of 0.8 are up to NEAR of 64 bits apart in one table, and up to BOTH of 128 in the two
-#: together; such texts are 10 and 19 apart on average, unrelated ones 32 and 64.
+#: Candidates for a similarity of 0.8 are up to NEAR of 64 bits apart in one table, and up to BOTH of 128 in it and the
+#: next one together; such texts are 10 and 19 apart on average, unrelated ones 32 and 64.
 NEAR, BOTH = 13, 28
-TABLES = 2  # independent fingerprints searched, so that a pair missed by one can be met by the other
+TABLES = 3  # independent fingerprints searched, so that a pair missed by one can be met by another
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, row_col: str | None = None) -> DataFrame:
