@@ -47,11 +47,16 @@ def fingerprint(text: str, words: int = 4) -> int:
 
 def fingerprints(text: str, words: int, tables: int) -> list[int]:
     """The SimHash, and further ones over the same hashes mixed anew."""
+    return _tables(_shingle_hashes(text, words), tables)
+
+
+def _shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; none if the text has no words."""
     import xxhash
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return [0] * tables
+        return np.array([], np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -60,7 +65,12 @@ def fingerprints(text: str, words: int, tables: int) -> list[int]:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
+def _tables(hashes: np.ndarray, tables: int) -> list[int]:
+    if not len(hashes):
+        return [0] * tables
     out = [_majority(hashes)]
     for _ in range(tables - 1):
         hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
@@ -364,14 +374,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), "row")
 
 
-def _side(first: DataFrame, name: str) -> DataFrame:
-    return first.select(F.col("fp").alias(name), F.col("first").alias(f"row_{name}"), F.col("first_other").alias(f"other_{name}"))
-
-
-def _apart(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
 def shingle_set(text: str, words: int) -> set[bytes]:
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     return {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
@@ -398,34 +400,198 @@ NEAR, BOTH = 13, 28
 TABLES = 3  # independent fingerprints searched, so that a pair missed by one can be met by another
 
 
+def _set_fingerprints(words: int, tables: int):
+    """Per text: a digest of its shingle set, and fingerprints over the distinct shingles, as Jaccard is over sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            digests, found = [], []
+            for text in batch.column("text").to_pylist():
+                hashes = _shingle_hashes(text, words)
+                digests.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED))
+                found.append(_tables(hashes, tables))
+            found = np.array(found, np.uint64).view(np.int64).reshape(-1, tables)
+            columns = [pa.array(np.array(digests, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(found[:, t])) for t in range(tables))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], names=["doc_id", "row", "set", *(f"fp{t or ''}" for t in range(tables))])
+
+    return run
+
+
+_ENTRY = ["key", "fp", "other", "comp", "row"]
+_ENTRIES = ", ".join(f"{c} long" for c in _ENTRY)
+_MET = f"{_ENTRIES}, block int, a long, b long"
+_CELLS = 1 << 20  # pairs compared at once
+
+
+def _entry_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in _ENTRY[1:]]
+        for at in range(0, batch.num_rows, 2048):
+            part = [v[at : at + 2048] for v in values]
+            row, key = segment_keys(part[0])
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(v[row]) for v in part)], names=_ENTRY)
+
+
+def _candidates(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs i, j of entries, the rows of those near in both tables, not of one component and met under their own key."""
+    keep = _close(x[i, 1], x[j, 1], NEAR) & (x[i, 3] != x[j, 3])
+    i, j = i[keep], j[keep]
+    keep = np.bitwise_count((x[i, 1] ^ x[j, 1]).view(np.uint64)).astype(np.int64) + np.bitwise_count((x[i, 2] ^ x[j, 2]).view(np.uint64)) <= BOTH
+    i, j = i[keep], j[keep]
+    keep = smallest_shared_key(x[i, 1], x[j, 1]) == x[i, 0]
+    i, j = x[i[keep], 4], x[j[keep], 4]
+    return np.minimum(i, j), np.maximum(i, j)
+
+
+def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates among all pairs within whole runs of equal ``group`` (sorted); with two blocks in a run, only pairs across."""
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    length = np.diff(np.concatenate((first, [len(group)])))
+    short = 16
+    if block is None:
+        at, end = np.flatnonzero(np.repeat(length <= short, length)), np.repeat(first + length, length)
+        for apart in range(1, short):
+            at = at[at + apart < end[at]]
+            for part in range(0, len(at), _CELLS):
+                yield _candidates(x, at[part : part + _CELLS], at[part : part + _CELLS] + apart)
+    for start, n in zip(first.tolist(), length.tolist(), strict=True):
+        if n < 2 or (block is None and n <= short):
+            continue
+        run = x[start : start + n]
+        if run[:, 3].min() == run[:, 3].max():
+            continue
+        blocks = np.unique(block[start : start + n]) if block is not None else []
+        if len(blocks) == 2:
+            left, right = (np.flatnonzero(block[start : start + n] == v) for v in blocks)
+        else:
+            left = right = np.arange(n)
+        step = max(1, _CELLS // len(right))
+        for at in range(0, len(left), step):
+            i = left[at : at + step]
+            near = (np.bitwise_count((run[i, 1][:, None] ^ run[right, 1]).view(np.uint64)) <= NEAR) & (run[i, 3][:, None] != run[right, 3])
+            if len(blocks) != 2:
+                near &= i[:, None] < right
+            p, q = np.nonzero(near)
+            yield _candidates(run, i[p], right[q])
+
+
+def _met(x: np.ndarray, block: np.ndarray | None, a: np.ndarray | None = None, b: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of the schema _MET: entries with their block, or pairs with block -1."""
+    n = len(x) if a is None else len(a)
+    columns = [x[:, c] if a is None else _nulls(n) for c in range(len(_ENTRY))]
+    pair = [_nulls(n), _nulls(n)] if a is None else [a, b]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.full(n, -1) if block is None else block, pa.int32()), *(pa.array(c, pa.int64()) for c in pair)], names=[*_ENTRY, "block", "a", "b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by key -> all candidate pairs of each run, or the entries of over-long runs with the number of their block."""
+
+    def found(x):
+        for a, b in _all_pairs(x, x[:, 0]) if len(x) else ():
+            if len(a):
+                yield _met(x, None, a, b)
+
+    held = np.empty((0, len(_ENTRY)), np.int64)
+    long_key, passed = None, 0
+    for batch in batches:
+        x = np.concatenate((held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _ENTRY], axis=1)))
+        if long_key is not None:
+            n = int(np.searchsorted(x[:, 0], long_key, "right"))
+            if n:
+                yield _met(x[:n], (passed + np.arange(n)) // RUN)
+            passed, x = passed + n, x[n:]
+            if len(x):
+                long_key = None
+        if not len(x):
+            held = x
+            continue
+        last = int(np.searchsorted(x[:, 0], x[-1, 0]))
+        first = np.flatnonzero(np.concatenate(([True], x[1:, 0] != x[:-1, 0])))
+        length = np.diff(np.concatenate((first, [len(x)])))
+        for at, n in zip(first[length > RUN].tolist(), length[length > RUN].tolist(), strict=True):
+            yield _met(x[at : at + n], np.arange(n) // RUN)
+            if at == last:
+                long_key, passed = int(x[at, 0]), n
+        done = np.repeat(length <= RUN, length)
+        done[last:] = False
+        yield from found(x[done])
+        held = x[last:] if long_key is None else x[:0]
+    yield from found(held)
+
+
+def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _meet for groups known to hold two blocks at most; within one block, pairs come from its own group."""
+    held = np.empty((0, len(_ENTRY) + 2), np.int64)
+
+    def found(x):
+        for a, b in _all_pairs(x[:, : len(_ENTRY)], x[:, -1], x[:, -2]):
+            if len(a):
+                yield _met(x, None, a, b)
+
+    for batch in batches:
+        held = np.concatenate((held, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*_ENTRY, "block", "group")], axis=1)))
+        last = int(np.searchsorted(held[:, -1], held[-1, -1])) if len(held) else 0
+        if last:
+            yield from found(held[:last])
+            held = held[last:]
+    if len(held):
+        yield from found(held)
+
+
+def candidate_pairs(entries: DataFrame) -> DataFrame:
+    """(fp, other, comp, row) -> (a, b): every pair of rows that share a key, up to NEAR bits apart in fp and up to BOTH in
+    fp and other together, unless of one comp.  Each pair comes once, under the smallest key it shares."""
+    keyed = entries.select(*_ENTRY[1:]).mapInArrow(_entry_keys, _ENTRIES)
+    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, _MET), "met")
+    near = found.filter("block < 0").select("a", "b")
+    heavy = found.filter("block >= 0").select(*_ENTRY, "block")
+    if not heavy.isEmpty():
+        # Each block meets each other block of its run (and itself) in a group of its own.
+        blocks = heavy.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
+        pairs = heavy.join(blocks, "key").select(*_ENTRY, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        pairs = pairs.select(*_ENTRY, "block", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("group"))
+        near = near.unionByName(staged(pairs.repartition("group").sortWithinPartitions("group").mapInArrow(_meet_blocks, _MET), "met").select("a", "b"))
+    return near
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, component_id, kept, row, with links verified on the texts.
 
-    Candidates are fingerprints up to NEAR bits apart that share a key (always, up to four bits; beyond that with
-    falling chance), and documents of equal fingerprints, each with the first of them.  A candidate
-    is a link if the Jaccard similarity of its shingle sets reaches ``similarity``; texts without words are
-    alike.  Of each component the row with the smallest doc_id is kept.
+    Documents of one shingle set are linked to the first of them, which stands for the set.  Candidates are all sets whose
+    fingerprints are up to NEAR bits apart and share a key (always, up to four bits; beyond that with falling chance).  A
+    candidate is a link if the Jaccard similarity of its shingle sets reaches ``similarity``; texts without words are alike.
+    A first pass verifies the least-distance trees of one table only, so that the second, over all tables, need not try
+    pairs that verified links connect already: large groups of copies do not grow with their square, and no component
+    differs from what all pairs give.  Of each component the row with the smallest doc_id is kept.
     """
     plain = documents(docs, id_col, text_col, row_col)
-    marked = staged(plain.mapInArrow(_fingerprints(words, TABLES), "doc_id long, row long" + "".join(f", fp{t or ''} long" for t in range(TABLES))), "fingerprints")
+    names = [f"fp{t or ''}" for t in range(TABLES)]
+    marked = staged(plain.mapInArrow(_set_fingerprints(words, TABLES), "doc_id long, row long, set long" + "".join(f", {n} long" for n in names)), "fingerprints")
+    sets = marked.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", *names)).alias("least"))
+    sets = staged(sets.select("set", F.col("least.row").alias("first"), *(F.col(f"least.{n}").alias(n) for n in names)), "sets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        nodes = staged(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "nodes")
+        texts = staged(plain.select("row", "text").join(nodes.hint("merge"), "row"), "texts")
+        text = lambda name: texts.select(F.col("row").alias(name), F.col("text").alias(f"text_{name}"))
+        return staged(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, similarity), "a long, b long"), "linked")
+
+    same = marked.select("set", "row").join(sets.select("set", "first"), "set").filter("row <> first").select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b"))
+    shown = staged(sets.groupBy("fp").agg(F.min("first").alias("row")), "shown")
+    side = lambda name: shown.select(F.col("fp").alias(name), F.col("row").alias(f"row_{name}"))
+    trees = staged(links(shown, NEAR), "near").join(side("a"), "a").join(side("b"), "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+    alike = sets.join(shown, "fp").filter("row <> first").select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b"))
+    known = staged(connected_components(linked(staged(same.unionByName(trees).unionByName(alike).distinct(), "pairs"))), "components")
+
+    placed = staged(sets.join(known.withColumnRenamed("node", "first"), "first", "left").select(F.col("first").alias("row"), F.coalesce("root", "first").alias("comp"), *names), "placed")
     pairs = None
     for t in range(TABLES):
-        other = (t + 1) % TABLES
-        table = marked.select("doc_id", "row", F.col(f"fp{t or ''}").alias("fp"), F.col(f"fp{other or ''}").alias("other"))
-        first = table.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "other")).alias("least"))
-        first = staged(first.select("fp", F.col("least.row").alias("first"), F.col("least.other").alias("first_other")), "first")
-        near = staged(links(first, NEAR), "near")
-        met = near.join(_side(first, "a"), "a").join(_side(first, "b"), "b").filter(_apart("a", "b") + _apart("other_a", "other_b") <= BOTH)
-        met = met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
-        same = table.join(first, "fp").filter("row <> first").filter(_apart("other", "first_other") <= BOTH)
-        same = same.select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b"))
-        pairs = met.unionByName(same) if pairs is None else pairs.unionByName(met).unionByName(same)
-    pairs = staged(pairs.distinct(), "pairs")
-    nodes = staged(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "nodes")
-    texts = staged(plain.select("row", "text").join(nodes.hint("merge"), "row"), "texts")
-    text = lambda name: texts.select(F.col("row").alias(name), F.col("text").alias(f"text_{name}"))
-    linked = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, similarity), "a long, b long")
-    parts = staged(connected_components(linked), "components")
+        met = candidate_pairs(placed.select(F.col(names[t]).alias("fp"), F.col(names[(t + 1) % TABLES]).alias("other"), "comp", "row"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    more = linked(staged(pairs.distinct(), "pairs"))
+    parts = staged(connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
     rooted = staged(marked.select("doc_id", "row").join(parts.withColumnRenamed("node", "row"), "row", "left").select("doc_id", "row", F.coalesce("root", "row").alias("root")), "rooted")
     top = staged(rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("top")), "top")
     return rooted.join(top, "root").select("doc_id", F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), "row")
