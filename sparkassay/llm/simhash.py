@@ -409,8 +409,8 @@ def _set_fingerprints(words: int, tables: int):
         for batch in batches:
             digests, found = [], []
             for text in batch.column("text").to_pylist():
-                hashes = _shingle_hashes(text, words)
-                digests.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED))
+                hashes = np.unique(_shingle_hashes(text, words))
+                digests.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 found.append(_tables(hashes, tables))
             found = np.array(found, np.uint64).view(np.int64).reshape(-1, tables)
             columns = [pa.array(np.array(digests, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(found[:, t])) for t in range(tables))]

@@ -81,3 +81,12 @@ def test_candidates_are_all_pairs(spark, monkeypatch):
     assert sorted((r["a"], r["b"]) for r in simhash.candidate_pairs(df).collect()) == want
     monkeypatch.setattr(simhash, "RUN", 8)
     assert sorted((r["a"], r["b"]) for r in simhash.candidate_pairs(df).collect()) == want
+
+
+def test_repeated_words_do_not_hide_texts(spark):
+    rng, texts = random.Random(4), []
+    for n in range(30):
+        own = _texts(100 + n, 150)
+        texts += [" ".join(["word"] * 200 + own), " ".join(["word"] * 200 + _changed(own, rng, 1))]
+    want, found = _components(texts)
+    assert found == 30 and _grouped(spark, texts) == want
