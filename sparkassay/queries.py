@@ -558,7 +558,7 @@ def est_ridge1(spark, d):
 
 def _fit_query(name: str, classification: bool, **params):
     def run(spark, d):
-        e = table(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("features"), (F.col("label") >= 5).cast("double").alias("y") if classification else F.col("label").cast("double").alias("y"))
+        e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), (F.col("label") >= 5).cast("double").alias("y") if classification else F.col("label").cast("double").alias("y"))
         s = split.random_split(e, "vec_id", 0.2, 1)
         m = Estimator(name, params).fit(s.filter("_split = 'train'"))
         out = m.transform(s)
@@ -570,15 +570,15 @@ def _fit_query(name: str, classification: bool, **params):
 
 
 for _key, _name, _cls, _params in (
-    ("est_rf", "RandomForestRegressor", False, {}), ("est_rfc", "RandomForestClassifier", True, {}), ("est_gbt", "XGBRegressor", False, {"n_estimators": 10}), ("est_logreg", "LogisticRegression", True, {}), ("est_lasso", "Lasso", False, {"alpha": 0.01}),
-    ("est_pls", "PLSRegression", False, {"n_components": 3}), ("est_ada", "AdaBoostClassifier", True, {"n_estimators": 4}), ("est_svc", "SVC", True, {"gamma": 0.5}), ("est_svr", "SVR", False, {"gamma": 0.5}),
+    ("est_rf", "RandomForestRegressor", False, {}), ("est_rfc", "RandomForestClassifier", True, {}), ("est_gbt", "XGBRegressor", False, {}), ("est_logreg", "LogisticRegression", True, {}), ("est_lasso", "Lasso", False, {"alpha": 0.01}),
+    ("est_pls", "PLSRegression", False, {"n_components": 3}), ("est_ada", "AdaBoostClassifier", True, {}), ("est_svc", "SVC", True, {"gamma": 0.5}), ("est_svr", "SVR", False, {"gamma": 0.5}),
 ):
     Q[_key] = _fit_query(_name, _cls, **_params)
 
 
 @query()
 def est_prf(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("features"), (F.col("label") / 9.0).alias("y"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), (F.col("label") / 9.0).alias("y"))
     return Estimator("PRFClassifier").fit(e).transform(e).agg(*metrics.regression("y", "probability"))
 
 

@@ -22,3 +22,24 @@ def test_tanimoto_and_butina_cover_all_embeddings(spark):
             for m in near[a]:
                 cluster.setdefault(m, number)
     assert {r["vec_id"]: r["cluster"] for r in Q["spl_butina"](spark, DIR).collect()} == cluster
+
+
+def test_estimators_get_whole_embeddings(spark, monkeypatch):
+    from sparkassay import queries
+
+    widths = []
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, df, *_, **__):
+        widths.append(df.selectExpr("min(size(features)) AS n").first()["n"])
+        raise Seen
+
+    monkeypatch.setattr(queries.Estimator, "fit", fit)
+    for name in ("est_rf", "est_logreg", "est_prf"):
+        try:
+            Q[name](spark, DIR)
+        except Seen:
+            pass
+    assert widths == [64, 64, 64]
