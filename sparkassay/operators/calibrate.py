@@ -46,35 +46,51 @@ def sigmoid(df: DataFrame, score: str = "score", label: str = "y"):
 class VennAbers:
     """Inductive Venn-ABERS: two isotonic fits per score, one with the new point in each class.
 
-    ``fit`` aggregates by score rounded to ``digits`` places, so at most 10^digits + 1 points come to the driver.
+    ``fit`` aggregates by exact score; one row per distinct score comes to the driver.
     """
 
-    def __init__(self, digits: int = 3) -> None:
-        self.digits = digits
+    def __init__(self) -> None:
         self.scores: list[float] = []
         self.low: list[float] = []
         self.high: list[float] = []
 
     def fit(self, df: DataFrame, score: str = "score", label: str = "y") -> VennAbers:
-        rows = df.groupBy(F.round(F.col(score).cast("double"), self.digits).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("p")).orderBy("s").collect()
-        points = [(r["s"], r["n"], r["p"]) for r in rows]
-        self.scores = [p[0] for p in points]
-        self.low = [self._with(points, i, 0.0) for i in range(len(points))]
-        self.high = [self._with(points, i, 1.0) for i in range(len(points))]
+        rows = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("p")).orderBy("s").collect()
+        self.scores = [r["s"] for r in rows]
+        n, p = [r["n"] for r in rows], [r["p"] for r in rows]
+        self.low, self.high = self._with(n, p, 0.0), self._with(n, p, 1.0)
         return self
 
     @staticmethod
-    def _with(points, at: int, label: float) -> float:
-        """Isotonic value at point ``at`` with one more observation of ``label`` there: a max-min of block means."""
-        sums, weights = [0.0], [0.0]
-        for i, (_, n, p) in enumerate(points):
-            sums.append(sums[-1] + p + (label if i == at else 0))
-            weights.append(weights[-1] + n + (i == at))
-        best = 0.0
-        for a in range(at + 1):
-            worst = min((sums[b] - sums[a]) / (weights[b] - weights[a]) for b in range(at + 1, len(sums)))
-            best = max(best, worst)
-        return best
+    def _pools(n: list, p: list, rising: bool) -> list[tuple]:
+        """For each point, the last pool of the isotonic fit up to it: (where the pool before it ends, weight, sum)."""
+        out: list[tuple] = []
+        for i in range(len(n)):
+            before, weight, total = i - 1, n[i], p[i]
+            while before >= 0:
+                end, w, t = out[before]
+                if (t * weight < total * w) if rising else (t * weight > total * w):
+                    break
+                before, weight, total = end, weight + w, total + t
+            out.append((before, weight, total))
+        return out
+
+    @classmethod
+    def _with(cls, n: list, p: list, label: float) -> list[float]:
+        """Isotonic value at each point with one more observation of ``label`` there: its pool takes in violating neighbours."""
+        left, back = cls._pools(n, p, True), cls._pools(n[::-1], p[::-1], False)
+        last, out = len(n) - 1, []
+        for i in range(len(n)):
+            weight, total, a, b = n[i] + 1, p[i] + label, i - 1, last - i - 1  # b counts from the end
+            while True:
+                if a >= 0 and left[a][2] * weight >= total * left[a][1]:
+                    a, weight, total = left[a][0], weight + left[a][1], total + left[a][2]
+                elif b >= 0 and back[b][2] * weight <= total * back[b][1]:
+                    b, weight, total = back[b][0], weight + back[b][1], total + back[b][2]
+                else:
+                    break
+            out.append(total / weight)
+        return out
 
     def transform(self, df: DataFrame, score: str = "score") -> DataFrame:
         """Adds p0, p1, calibrated and uncertainty."""
@@ -82,10 +98,10 @@ class VennAbers:
 
         @F.pandas_udf("p0 double, p1 double")
         def look(s: pd.Series) -> pd.DataFrame:
-            at = [max(0, bisect_right(scores, round(x, 12)) - 1) for x in s]
+            at = [max(0, bisect_right(scores, x) - 1) for x in s]
             return pd.DataFrame({"p0": [low[i] for i in at], "p1": [high[i] for i in at]})
 
-        out = df.withColumn("__va", look(F.round(F.col(score).cast("double"), self.digits)))
+        out = df.withColumn("__va", look(F.col(score).cast("double")))
         return venn_abers_probability(out.select(*df.columns, "__va.p0", "__va.p1"))
 
 

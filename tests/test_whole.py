@@ -43,3 +43,26 @@ def test_estimators_get_whole_embeddings(spark, monkeypatch):
         except Seen:
             pass
     assert widths == [64, 64, 64]
+
+
+def test_venn_abers_keeps_every_score(spark):
+    import random
+
+    from sparkassay.operators.calibrate import VennAbers
+
+    rng = random.Random(2)
+    data = [(rng.choice([1e-5, 1.0]) * rng.random(), rng.randrange(2)) for _ in range(60)]
+    data += [(data[0][0], 1), (data[1][0], 0)]
+    fitted = VennAbers().fit(spark.createDataFrame(data, "score double, y int"))
+    scores = sorted({s for s, _ in data})
+    assert fitted.scores == scores
+
+    def slow(at, label):
+        rows = [*data, (at, label)]
+        mean = lambda a, b: (lambda ys: sum(ys) / len(ys))([y for s, y in rows if a <= s <= b])
+        return max(min(mean(a, b) for b in scores if b >= at) for a in scores if a <= at)
+
+    for s, low, high in zip(scores, fitted.low, fitted.high, strict=True):
+        assert abs(low - slow(s, 0)) < 1e-12 and abs(high - slow(s, 1)) < 1e-12
+    got = fitted.transform(spark.createDataFrame([(s,) for s in scores], "score double")).orderBy("score").collect()
+    assert [r["p0"] for r in got] == fitted.low
