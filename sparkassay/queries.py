@@ -387,6 +387,12 @@ def join_full(spark, d):
     return joins.outer_merge(table(spark, d, "documents").filter("doc_id % 3 > 0").select("doc_id", "n_chars"), table(spark, d, "labels").filter("doc_id % 2 = 0").select("doc_id", "quality"), "doc_id")
 
 
+@query()
+def join_full_all(spark, d):
+    """As join_full, whose SQL drops rows by id, over the whole tables."""
+    return joins.outer_merge(table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def join_anti(spark, d):
     return joins.unseen(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")

@@ -66,3 +66,11 @@ def test_venn_abers_keeps_every_score(spark):
         assert abs(low - slow(s, 0)) < 1e-12 and abs(high - slow(s, 1)) < 1e-12
     got = fitted.transform(spark.createDataFrame([(s,) for s in scores], "score double")).orderBy("score").collect()
     assert [r["p0"] for r in got] == fitted.low
+
+
+def test_full_join_of_whole_tables(spark):
+    docs = {r["doc_id"]: r["n_chars"] for r in table(spark, DIR, "documents").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, DIR, "labels").collect()}
+    got = Q["join_full_all"](spark, DIR).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs.keys() | labels.keys())
+    assert all((r["n_chars"], r["quality"]) == (docs.get(r["doc_id"]), labels.get(r["doc_id"])) for r in got)
