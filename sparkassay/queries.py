@@ -344,6 +344,13 @@ def trf_ptr_inverse(spark, d):
     return table(spark, d, "events").filter("value < 400").select("event_id", F.round(t.inverse(t.forward(F.col("value"))), 4).alias("y"))
 
 
+@query()
+def trf_ptr_inverse_all(spark, d):
+    """As trf_ptr_inverse, whose SQL stops at 400, over all events."""
+    t = transform.Threshold(100, 80)
+    return table(spark, d, "events").select("event_id", F.round(t.inverse(t.forward(F.col("value"))), 4).alias("y"))
+
+
 @query("SELECT event_id, [CAST(event_id AS DOUBLE), CAST(0.5 AS DOUBLE), NULL] AS v FROM events")
 def trf_vector(spark, d):
     return table(spark, d, "events").select("event_id", mathx.vector(F.concat(F.col("event_id").cast("string"), F.lit(", 0.5, x"))).alias("v"))

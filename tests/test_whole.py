@@ -74,3 +74,10 @@ def test_full_join_of_whole_tables(spark):
     got = Q["join_full_all"](spark, DIR).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(docs.keys() | labels.keys())
     assert all((r["n_chars"], r["quality"]) == (docs.get(r["doc_id"]), labels.get(r["doc_id"])) for r in got)
+
+
+def test_ptr_inverse_holds_in_the_tail(spark):
+    values = {r["event_id"]: r["value"] for r in table(spark, "/root/testdata/sf0.01", "events").collect()}
+    got = {r["event_id"]: r["y"] for r in Q["trf_ptr_inverse_all"](spark, "/root/testdata/sf0.01").collect()}
+    assert max(values.values()) > 400 and got.keys() == values.keys()
+    assert all(abs(got[i] - v) < 2e-4 for i, v in values.items())
