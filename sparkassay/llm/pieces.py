@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from sparkassay.llm.common import documents
 
 MARK = "▁"
-_KEPT = 500_000
+_KEPT = 200_000  # words and pairs kept in a worker; what goes is found anew when it comes again
 _NORMAL, _CONTROL, _USER, _BYTE = 1, 3, 4, 6  # fixed values: piece types of the model file
 
 
@@ -116,13 +116,24 @@ class Codec:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, str]] = {}
-        self.names = {p: str(i) for p, i in m.ids.items()}
+        #: words met of late, and those of the time before: what comes often stays, what came once goes
+        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.names, self.end = {p: str(i) for p, i in m.ids.items()}, str(m.end)
+        self.surfaces = {str(i): p.replace(MARK, " ").encode() if t == _NORMAL else bytes([int(p[3:5], 16)]) if t == _BYTE else b"" for i, (p, _, t) in enumerate(m.pieces)}
         self.chars = {p for p in m.ids if len(p) == 1}
         one = "".join(map(re.escape, sorted(self.chars)))
         self.split = re.compile(f"([{one}]+)|([^{one}]+)")
+        #: the longest entry that a path from the automaton's root has passed, by its text
+        self.reach: dict[str, str | None] = {"": None}
         #: the longest entry that is a shorter beginning of an entry
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in m.ids), None) for p in m.ids}
+        self.shorter: dict[str, str | None] = {}
+        self.longest = max(map(len, m.ids), default=1)
+        for p in sorted(m.ids, key=len):
+            passed = None
+            for k in range(1, len(p) + 1):
+                passed = self.reach.setdefault(p[:k], passed)
+            self.shorter[p], self.reach[p] = passed, p
         self.chunks = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def compatible(self, a: str, b: str) -> bool:
@@ -136,12 +147,10 @@ class Codec:
 
     def _word(self, word: str) -> list[str]:
         """Backtracking over one word all of whose characters are entries."""
-        longest = {}  # by start; matches come by their end, so the last for a start is the longest
-        for last, length in self.automaton.iter(word):
-            longest[last - length + 1] = length
+        walk, reach, longest = self.automaton.longest_prefix, self.reach, self.longest
         pairs, shorter = self.pairs, self.shorter
         n, at, failed, left, out = len(word), 0, 0, "", []
-        token = word[: longest[0]]
+        token = reach[word[: walk(word[:longest])]]
         while True:
             to = at + len(token)
             if not failed >> to & 1 and (not left or (pairs[left, token] if (left, token) in pairs else self.compatible(left, token))):
@@ -149,9 +158,10 @@ class Codec:
                 if to == n:
                     return out
                 at, left = to, token
-                token = word[at : at + longest[at]]
+                rest = word[at : at + longest]
+                token = reach[rest[: walk(rest)]]
                 continue
-            token = shorter.get(token)
+            token = shorter[token]
             while token is None:  # nothing fits here after what stands to the left
                 failed |= 1 << at
                 if not out:
@@ -159,60 +169,85 @@ class Codec:
                 token = out.pop()
                 at -= len(token)
                 left = out[-1] if out else ""
-                token = shorter.get(token)
+                token = shorter[token]
 
-    def _chunk(self, chunk: str) -> tuple[int, str]:
-        name = self.names
+    def _chunk(self, chunk: str) -> tuple[int, str, bytes]:
         if self.chars.issuperset(chunk):
-            tokens = self._word(chunk) if chunk[-1] != MARK else self.model.merged(chunk)
-            return len(tokens), " ".join([name[t] for t in tokens])
-        ids: list[str] = []
-        for known, other in self.split.findall(chunk):
-            if other:
-                ids += [str(self.model.bytes[b]) for b in other.encode("utf-8", "surrogatepass")]
-            else:
-                ids += [name[t] for t in (self._word(known) if known[-1] != MARK else self.model.merged(known))]
-        return len(ids), " ".join(ids)
-
-    def chunk(self, chunk: str) -> tuple[int, str]:
-        """Number of ids, and the ids joined by spaces, of one word with the marks before it."""
-        found = self.known.get(chunk)
+            ids = list(map(self.names.__getitem__, self._word(chunk) if chunk[-1] != MARK else self.model.merged(chunk)))
+        else:
+            ids = []
+            for known, other in self.split.findall(chunk):
+                if other:
+                    ids += [str(self.model.bytes[b]) for b in other.encode("utf-8", "surrogatepass")]
+                else:
+                    ids += [self.names[t] for t in (self._word(known) if known[-1] != MARK else self.model.merged(known))]
+        return len(ids), " ".join(ids), self.surface(ids)
+
+    def chunk(self, chunk: str, key: str) -> tuple[int, str, bytes]:
+        """Of one word with the marks before it: the number of ids, the ids, and the bytes that these ids decode to."""
+        found = self.older.get(key)
         if found is None:
             found = self._chunk(chunk)
-            if len(chunk) <= 64:
-                if len(self.known) >= _KEPT:
-                    self.known.clear()
-                self.known[chunk] = found
+        if len(chunk) <= 64:
+            if len(self.known) >= _KEPT:
+                self.known, self.older = {}, self.known
+            self.known[key] = found
         return found
 
+    def _parts(self, text: str) -> list[tuple[int, str, bytes]]:
+        if not text:
+            return []
+        words = text.split(" ")
+        if not self.model.prefix or MARK in text or "" in words:  # marks in other places than one before each word
+            words = self.chunks.findall((MARK if self.model.prefix else "") + text.replace(" ", MARK))
+            return [self.known.get(w) or self.chunk(w, w) if w[0] == MARK else self._chunk(w) for w in words]
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            parts = [self.known.get(w) or self.chunk(MARK + w, w) if p is None else p for p, w in zip(parts, words, strict=True)]
+        return parts
+
     def encode(self, text: str) -> tuple[int, str]:
         """Ids of a whole text with the end id, joined by spaces, and their number."""
-        if not text:
-            return 1, str(self.model.end)
-        text = (MARK if self.model.prefix else "") + text.replace(" ", MARK)
-        parts = list(map(self.chunk, self.chunks.findall(text)))
-        return sum(p[0] for p in parts) + 1, " ".join([p[1] for p in parts] + [str(self.model.end)])
+        n, ids, _ = self.round_trip(text)
+        return n, ids
 
-    def decode(self, ids: str) -> str:
-        """Text of ids joined by spaces."""
-        if not hasattr(self, "_surface"):
-            self._surface = {str(i): p.replace(MARK, " ").encode() if t == _NORMAL else bytes([int(p[3:5], 16)]) if t == _BYTE else b"" for i, (p, _, t) in enumerate(self.model.pieces)}
-            self._raw = {str(i) for i, (_, _, t) in enumerate(self.model.pieces) if t == _BYTE}
-        surface = self._surface
-        data = b"".join([surface[i] for i in ids.split(" ")])
+    def round_trip(self, text: str) -> tuple[int, str, str]:
+        """What ``encode`` gives, and what ``decode`` makes of it: the bytes of a word's ids are kept with them."""
+        n, ids, data = zip(*self._parts(text), (1, self.end, b""), strict=True)
+        return sum(n), " ".join(ids), self._text(b"".join(data))
+
+    def surface(self, ids: list[str]) -> bytes:
+        """Bytes that ids stand for, before the mark ahead of the text goes."""
+        return b"".join([self.surfaces[i] for i in ids])
+
+    def _text(self, data: bytes) -> str:
         if self.model.prefix and data[:1] == b" ":
             data = data[1:]
         return data.decode("utf-8", "replace")
 
+    def decode(self, ids: str) -> str:
+        """Text of ids joined by spaces."""
+        return self._text(self.surface(ids.split(" ")))
+
+
+_CODECS: dict[bytes, Codec] = {}
+
+
+def codec_of(data: bytes) -> Codec:
+    """One codec per worker process and model, so that tasks go on with what earlier ones have found."""
+    if data not in _CODECS:
+        _CODECS.clear()
+        _CODECS[data] = Codec(data)
+    return _CODECS[data]
+
 
 def _encoded(data: bytes, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data)
+        codec = codec_of(data)
         for batch in batches:
             n, ids_sha, text_sha, ids, texts = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                count, joined = codec.encode(text)
-                back = codec.decode(joined)
+                count, joined, back = codec.round_trip(text)
                 n.append(count)
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
