@@ -1,15 +1,20 @@
 """What several corpus operators share: the shared folder, staged tables, and connected components.
 
 Staged tables cut lineage and survive the loss of executors: they are plain Parquet below the folder
-that ``spark.checkpoint.dir`` names.  Only where that setting is absent (local tests) is a temporary
-folder made.
+that ``spark.checkpoint.dir`` names.  Only where that setting is absent and the master is local (tests) is a
+temporary folder made.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="sparkassay-")
     return _LOCAL["dir"]
@@ -56,9 +63,34 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row.alias("row"))
 
 
-def only_rows(docs: DataFrame, kept: DataFrame, row_col: str) -> DataFrame:
-    """The rows of ``docs`` whose ``row_col`` is in ``kept``'s column row, without that column."""
-    return docs.join(kept.select(F.col("row").alias(row_col)), row_col, "left_semi").drop(row_col)
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts of about ``most`` bytes of text, one row at least: what a worker makes of a
+    part stays small, however many rows come at once."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+#: Rows of a few numbers that a broadcast may hold: some 50 MB on each executor.
+FEW = 500_000
+
+
+def few_or_joined(large: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``large`` with a staged table of numbered rows: by broadcast if these are at most FEW, else by a merge join.
+
+    Both give the same rows; the first moves none of ``large``.
+    """
+    return large.join(F.broadcast(small) if small.count() <= FEW else small.hint("merge"), key, how)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, row_col: str) -> DataFrame:
+    """``docs`` without the rows whose ``row_col`` is in ``gone``'s column row, and without that column."""
+    gone = staged(gone.select(F.col("row").alias(row_col)), "gone")
+    return few_or_joined(docs, gone, row_col, "left_anti").drop(row_col)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

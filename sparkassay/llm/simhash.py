@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm.common import connected_components, documents, only_rows, staged
+from sparkassay.llm.common import connected_components, documents, few_or_joined, slices, staged, without_rows
 
 MAX_BITS = 4
 RUN = 4096
@@ -601,4 +601,4 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """One row of each group of similar documents, with all its columns."""
     numbered = docs.withColumn("__near_row", F.monotonically_increasing_id())
     found = similar_groups(numbered, id_col, text_col, words, similarity, "__near_row")
-    return only_rows(numbered, found.filter("kept"), "__near_row")
+    return without_rows(numbered, found.filter("NOT kept"), "__near_row")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkassay.llm import ann, exact, html, mixing, pieces, quality, secrets, simhash, suffix, tokens
+from sparkassay.llm import ann, common, exact, html, mixing, pieces, quality, secrets, simhash, suffix, tokens
 
 SCHEMA = "doc_id long, text string, key string, fp string, row string, source string"
 
@@ -99,8 +99,7 @@ def test_exact_duplicates(docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
-def test_collisions_are_told_apart(docs, monkeypatch):
-    want = sorted(map(str, rows(exact.exact_duplicates(docs).drop("row"))))
+def test_polynomials_combine():
     rng = random.Random(9)
     a, b = (bytes(rng.randrange(256) for _ in range(200_000)) for _ in range(2))
     assert exact.polynomial(a + b) != exact.polynomial(b + a)
@@ -108,8 +107,30 @@ def test_collisions_are_told_apart(docs, monkeypatch):
     split = lambda v: (v >> 31, v & (1 << 31) - 1)
     joined = exact.combine(split(x), split(y), len(b))
     assert exact.polynomial(a + b) == joined[0] << 31 | joined[1]
-    assert not exact.same(a, b) and exact.same(a, bytes(a))
-    assert want
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_collisions_are_told_apart(spark, docs, monkeypatch, few):
+    """Fingerprints that say nothing, and texts that differ in their last chunk alone."""
+    monkeypatch.setattr(common, "FEW", few)
+    monkeypatch.setattr(exact, "SALT", 2)
+    long = words(8, 60_000)
+    same = docs.unionByName(spark.createDataFrame([(100, long + "a", "", "", "", ""), (101, long + "b", "", "", "", ""), (102, long + "B", "", "", "", "")], SCHEMA))
+    shown = lambda **by: sorted(map(str, rows(exact.exact_duplicates(same, **by).drop("row"))))
+    want = shown()
+    assert sum("'keep_id': 102" in r for r in want) == 2
+    assert shown(mark=lambda data: 7) == want
+    assert shown(mark=lambda data: len(data) % 2) == want
+
+
+def test_slices_hold_all_rows():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (0, 5, 100, 1, 1, 1000, 3)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(8))], names=["text", "n"])
+    parts = list(common.slices([batch, batch.slice(3), batch.slice(0, 0)], "text", 150))
+    assert [v for p in parts for v in p.column("n").to_pylist()] == [*range(8), *range(3, 8)]
+    assert len(parts) > 4 and all(p.num_rows for p in parts)
 
 
 def test_fingerprints_and_components(docs, empty):
