@@ -318,8 +318,8 @@ def test_html_held_out_pages():
     for source in html.labelled_pages(120, seed=77):
         page = html.Page(source)
         m, _, _ = model.marginals(page)
-        wrong += sum((m[i] > 0.5) != (page.label[i] == 1) for i, _ in page.segments)
-        total += len(page.segments)
+        wrong += sum((m[i] > 0.5) != (page.label[i] == 1) for s in page.segments for i, _ in s)
+        total += sum(map(len, page.segments))
     assert wrong < 0.03 * total
 
 
