@@ -218,24 +218,60 @@ def test_similar_groups(docs, empty):
     assert simhash.without_near_duplicates(empty).count() == 0
 
 
-def test_repeated_substrings(docs, empty):
-    texts = [(r["text"] or "").encode() for r in docs.select("text").collect()]
+def _removed_slowly(texts):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of each text by a table of all strings of 400 bytes."""
     count: dict = {}
     for t in texts:
         for i in range(len(t) - 399):
             count[t[i : i + 400]] = count.get(t[i : i + 400], 0) + 1
-
-    def slow(t):
+    out = []
+    for t in texts:
         hit = np.zeros(len(t), bool)
         for i in range(len(t) - 399):
             if count[t[i : i + 400]] > 1:
                 hit[i : i + 400] = True
         edge = np.diff(np.concatenate(([0], hit.astype(int))))
-        return len(t), int(hit.sum()), int((edge == 1).sum()), hashlib.sha256(bytes(b for b, h in zip(t, hit, strict=True) if not h)).hexdigest()
+        out.append((len(t), int(hit.sum()), int((edge == 1).sum()), hashlib.sha256(bytes(b for b, h in zip(t, hit, strict=True) if not h)).hexdigest()))
+    return out
+
+
+def _removed(spark, texts):
+    got = rows(suffix.repeated_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    return [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sorted(got, key=lambda r: r["doc_id"])]
+
 
-    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(suffix.repeated_substrings(docs)))
-    assert got == sorted(map(slow, texts))
+def test_repeated_substrings(spark, docs, empty):
+    texts = [r["text"] for r in docs.select("text").collect()]
+    assert _removed(spark, texts) == _removed_slowly([(t or "").encode() for t in texts])
+    assert suffix.repeated_substrings(docs).filter("doc_id IS NULL").count() == 2
     assert suffix.repeated_substrings(empty).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sparkassay_texts")]
+
+
+def test_passages_in_many_surroundings(spark, monkeypatch):
+    """Groups of many contexts are halved until they are small: passages, a frequent line, periods, an unequal byte."""
+    monkeypatch.setattr(suffix, "HOT", 3)
+    passage, line, texts = words(5, 120)[:630], words(6, 30)[:90], []
+    for n in range(14):
+        own = words(50 + n, 70)
+        texts.append(own[: 200 + 9 * n] + passage + own[200 + 9 * n :])
+        texts.append(own[:150][::-1] + line + own[150:] + "ab" * (190 + n))
+        texts.append(passage[: 399 + n % 3] + str(n) + own[:30] + "x" * (395 + n))
+    texts += [passage[:400], passage[:399], passage[1:400] + "!", passage[:300] + "?" + passage[301:], line * 9]
+    want = _removed_slowly([t.encode() for t in texts])
+    assert sum(w[1] > 0 for w in want) > 25
+    assert _removed(spark, texts) == want
+
+
+def test_suffix_array_of_many_names():
+    """Enough text that the string of names has an alphabet of thousands, and its own names too."""
+    text = " ".join(words(n, 400) for n in range(40)).encode()
+    s = np.append(np.frombuffer(text + text[3000:20000], np.uint8).astype(np.int64) + 1, 0)
+    array = suffix.suffix_array(s)
+    data = s.astype(np.uint8).tobytes()
+    assert sorted(array.tolist()) == list(range(len(s)))
+    at = array.tolist()
+    assert all(data[a:] < data[b:] for a, b in zip(at[::7], at[1::7], strict=False)) and all(data[a : a + 3000] <= data[b : b + 3000] for a, b in zip(at, at[1:], strict=False))
 
 
 def test_suffix_arrays_and_prefixes():
