@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkassay.llm.common import connected_components, documents, few_or_joined, slices, staged, without_rows
@@ -170,7 +170,7 @@ def smallest_shared_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _fingerprints(words: int, tables: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = np.array([fingerprints(t, words, tables) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64).reshape(-1, tables)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array(np.ascontiguousarray(found[:, t])) for t in range(tables))], names=["doc_id", "row", *(f"fp{t or ''}" for t in range(tables))])
 
@@ -266,15 +266,15 @@ def _nulls(n: int) -> np.ma.MaskedArray:
     return np.ma.masked_all(n, np.int64)
 
 
-def _comparer(bits: int):
-    return lambda batches: _compare(batches, bits)
+def _comparer(bits: int, longest: int):
+    return lambda batches: _compare(batches, bits, longest)
 
 
 def _block_comparer(bits: int):
     return lambda batches: _compare_all(batches, bits)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], bits: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Sorted (key, fp) -> links (a, b), or members of over-long runs with the number of their block."""
 
     def out(key, a, b, block):
@@ -296,18 +296,18 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         if long_key is not None:
             n = int(np.searchsorted(key, long_key, "right"))
             if n:
-                yield out(key[:n], fp[:n], _nulls(n), (passed + np.arange(n)) // RUN)
+                yield out(key[:n], fp[:n], _nulls(n), (passed + np.arange(n)) // longest)
             passed, key, fp = passed + n, key[n:], fp[n:]
             if len(key):
                 long_key = None
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.array([], np.int64)
         length = np.diff(np.concatenate((first, [len(key)])))
-        for at, n in zip(first[length > RUN].tolist(), length[length > RUN].tolist(), strict=True):
-            yield out(key[at : at + n], fp[at : at + n], _nulls(n), np.arange(n) // RUN)
+        for at, n in zip(first[length > longest].tolist(), length[length > longest].tolist(), strict=True):
+            yield out(key[at : at + n], fp[at : at + n], _nulls(n), np.arange(n) // longest)
             if at + n == len(key):
                 long_key, passed = int(key[at]), n
-        keep = np.repeat(length <= RUN, length)
-        last = int(first[-1]) if len(first) and length[-1] <= RUN else len(key)
+        keep = np.repeat(length <= longest, length)
+        last = int(first[-1]) if len(first) and length[-1] <= longest else len(key)
         done = keep.copy()
         done[last:] = False
         yield from links(key[done], fp[done])
@@ -324,7 +324,7 @@ def links(fingerprints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     With ``bits`` above MAX_BITS, also links of up to so many among those that happen to share a key.
     """
     keyed = fingerprints.select("fp").mapInArrow(_keys, "key long, fp long")
-    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(bits), _FOUND), "links")
+    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(bits, RUN), _FOUND), "links")
     near = found.filter("block < 0").select("a", "b")
     heavy = found.filter("block >= 0").select("key", F.col("a").alias("fp"), "block")
     if not heavy.isEmpty():
@@ -381,7 +381,7 @@ def shingle_set(text: str, words: int) -> set[bytes]:
 
 def _similar(words: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(slices(batches, "text_a"), "text_b"):
             a, b, rows = [], [], zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)
             for x, y, s, t in rows:
                 s, t = shingle_set(s, words), shingle_set(t, words)
@@ -406,7 +406,7 @@ def _set_fingerprints(words: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches, "text"):
             digests, found = [], []
             for text in batch.column("text").to_pylist():
                 hashes = np.unique(_shingle_hashes(text, words))
@@ -423,6 +423,8 @@ _ENTRY = ["key", "fp", "other", "comp", "row"]
 _ENTRIES = ", ".join(f"{c} long" for c in _ENTRY)
 _MET = f"{_ENTRIES}, block int, a long, b long"
 _CELLS = 1 << 20  # pairs compared at once
+DENSE = 4  # candidates per entry from which a run is compared as a whole
+HELD = 48 << 20  # bytes of shingle sets that meet in one task
 
 
 def _entry_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,19 +436,26 @@ def _entry_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(v[row]) for v in part)], names=_ENTRY)
 
 
-def _candidates(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs i, j of entries, the rows of those near in both tables, not of one component and met under their own key."""
+def _candidates(x: np.ndarray, i: np.ndarray, j: np.ndarray, places: bool = False) -> tuple[np.ndarray, ...]:
+    """Of the pairs i, j of entries, the rows of those near in both tables, not of one component and met under their own key
+    (and their places)."""
     keep = _close(x[i, 1], x[j, 1], NEAR) & (x[i, 3] != x[j, 3])
     i, j = i[keep], j[keep]
     keep = np.bitwise_count((x[i, 1] ^ x[j, 1]).view(np.uint64)).astype(np.int64) + np.bitwise_count((x[i, 2] ^ x[j, 2]).view(np.uint64)) <= BOTH
     i, j = i[keep], j[keep]
     keep = smallest_shared_key(x[i, 1], x[j, 1]) == x[i, 0]
-    i, j = x[i[keep], 4], x[j[keep], 4]
-    return np.minimum(i, j), np.maximum(i, j)
+    i, j = i[keep], j[keep]
+    a, b = x[i, 4], x[j, 4]
+    return np.minimum(a, b), np.maximum(a, b), *((i, j) if places else ())
+
 
+def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None, many: int = DENSE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates among all pairs within whole runs of equal ``group`` (sorted); with two blocks in a run, only pairs across.
 
-def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates among all pairs within whole runs of equal ``group`` (sorted); with two blocks in a run, only pairs across."""
+    A run with more than ``many`` candidates per entry gives the entries that are in any, by their places in ``x``,
+    instead of its pairs.
+    """
+    none = np.array([], np.int64)
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     length = np.diff(np.concatenate((first, [len(group)])))
     short = 16
@@ -455,7 +464,7 @@ def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None
         for apart in range(1, short):
             at = at[at + apart < end[at]]
             for part in range(0, len(at), _CELLS):
-                yield _candidates(x, at[part : part + _CELLS], at[part : part + _CELLS] + apart)
+                yield *_candidates(x, at[part : part + _CELLS], at[part : part + _CELLS] + apart), none
     for start, n in zip(first.tolist(), length.tolist(), strict=True):
         if n < 2 or (block is None and n <= short):
             continue
@@ -467,14 +476,25 @@ def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None
             left, right = (np.flatnonzero(block[start : start + n] == v) for v in blocks)
         else:
             left = right = np.arange(n)
-        step = max(1, _CELLS // len(right))
+        step, found, dense = max(1, _CELLS // len(right)), [], 0
+        inside = np.zeros(n, bool)
         for at in range(0, len(left), step):
             i = left[at : at + step]
             near = (np.bitwise_count((run[i, 1][:, None] ^ run[right, 1]).view(np.uint64)) <= NEAR) & (run[i, 3][:, None] != run[right, 3])
             if len(blocks) != 2:
                 near &= i[:, None] < right
             p, q = np.nonzero(near)
-            yield _candidates(run, i[p], right[q])
+            a, b, i, j = _candidates(run, i[p], right[q], True)
+            inside[i] = inside[j] = True
+            dense += len(a)
+            if dense <= many * n:
+                found.append((a, b))
+            else:
+                found = []
+        if dense > many * n:
+            yield none, none, start + np.flatnonzero(inside)
+        for a, b in found:
+            yield a, b, none
 
 
 def _met(x: np.ndarray, block: np.ndarray | None, a: np.ndarray | None = None, b: np.ndarray | None = None) -> pa.RecordBatch:
@@ -485,13 +505,24 @@ def _met(x: np.ndarray, block: np.ndarray | None, a: np.ndarray | None = None, b
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.full(n, -1) if block is None else block, pa.int32()), *(pa.array(c, pa.int64()) for c in pair)], names=[*_ENTRY, "block", "a", "b"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by key -> all candidate pairs of each run, or the entries of over-long runs with the number of their block."""
+def _meeting(longest: int, many: int):
+    return lambda batches: _meet(batches, longest, many)
+
+
+def _meeting_blocks(many: int):
+    return lambda batches: _meet_blocks(batches, many)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], longest: int, many: int) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by key -> all candidate pairs of each run, the entries of dense runs (block -2), or those of over-long
+    runs with the number of their block."""
 
     def found(x):
-        for a, b in _all_pairs(x, x[:, 0]) if len(x) else ():
+        for a, b, dense in _all_pairs(x, x[:, 0], many=many) if len(x) else ():
             if len(a):
                 yield _met(x, None, a, b)
+            if len(dense):
+                yield _met(x[dense], np.full(len(dense), -2))
 
     held = np.empty((0, len(_ENTRY)), np.int64)
     long_key, passed = None, 0
@@ -500,7 +531,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if long_key is not None:
             n = int(np.searchsorted(x[:, 0], long_key, "right"))
             if n:
-                yield _met(x[:n], (passed + np.arange(n)) // RUN)
+                yield _met(x[:n], (passed + np.arange(n)) // longest)
             passed, x = passed + n, x[n:]
             if len(x):
                 long_key = None
@@ -510,25 +541,29 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(np.searchsorted(x[:, 0], x[-1, 0]))
         first = np.flatnonzero(np.concatenate(([True], x[1:, 0] != x[:-1, 0])))
         length = np.diff(np.concatenate((first, [len(x)])))
-        for at, n in zip(first[length > RUN].tolist(), length[length > RUN].tolist(), strict=True):
-            yield _met(x[at : at + n], np.arange(n) // RUN)
+        for at, n in zip(first[length > longest].tolist(), length[length > longest].tolist(), strict=True):
+            yield _met(x[at : at + n], np.arange(n) // longest)
             if at == last:
                 long_key, passed = int(x[at, 0]), n
-        done = np.repeat(length <= RUN, length)
+        done = np.repeat(length <= longest, length)
         done[last:] = False
         yield from found(x[done])
         held = x[last:] if long_key is None else x[:0]
     yield from found(held)
 
 
-def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet_blocks(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.RecordBatch]:
     """As _meet for groups known to hold two blocks at most; within one block, pairs come from its own group."""
     held = np.empty((0, len(_ENTRY) + 2), np.int64)
 
     def found(x):
-        for a, b in _all_pairs(x[:, : len(_ENTRY)], x[:, -1], x[:, -2]):
+        for a, b, dense in _all_pairs(x[:, : len(_ENTRY)], x[:, -1], x[:, -2], many):
             if len(a):
                 yield _met(x, None, a, b)
+            if len(dense):
+                run = x[dense]
+                run[:, 0] = run[:, -1]  # dense entries go by their group
+                yield _met(run, np.full(len(run), -2))
 
     for batch in batches:
         held = np.concatenate((held, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*_ENTRY, "block", "group")], axis=1)))
@@ -540,20 +575,107 @@ def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(held)
 
 
-def candidate_pairs(entries: DataFrame) -> DataFrame:
+def candidate_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fp, other, comp, row) -> (a, b): every pair of rows that share a key, up to NEAR bits apart in fp and up to BOTH in
-    fp and other together, unless of one comp.  Each pair comes once, under the smallest key it shares."""
+    fp and other together, unless of one comp.  Each pair comes once, under the smallest key it shares.
+
+    Pairs of dense runs are not listed: second come (key, row, comp) of these runs' entries, to be compared together.
+    """
     keyed = entries.select(*_ENTRY[1:]).mapInArrow(_entry_keys, _ENTRIES)
-    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, _MET), "met")
-    near = found.filter("block < 0").select("a", "b")
+    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting(RUN, DENSE), _MET), "met")
+    near, dense = found.filter("block = -1").select("a", "b"), found.filter("block = -2").select("key", "row", "comp")
     heavy = found.filter("block >= 0").select(*_ENTRY, "block")
     if not heavy.isEmpty():
         # Each block meets each other block of its run (and itself) in a group of its own.
         blocks = heavy.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
         pairs = heavy.join(blocks, "key").select(*_ENTRY, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
         pairs = pairs.select(*_ENTRY, "block", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("group"))
-        near = near.unionByName(staged(pairs.repartition("group").sortWithinPartitions("group").mapInArrow(_meet_blocks, _MET), "met").select("a", "b"))
-    return near
+        found = staged(pairs.repartition("group").sortWithinPartitions("group").mapInArrow(_meeting_blocks(DENSE), _MET), "met")
+        near, dense = near.unionByName(found.filter("block = -1").select("a", "b")), dense.unionByName(found.filter("block = -2").select("key", "row", "comp"))
+    return near, dense
+
+
+def _hash_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [np.unique(_shingle_hashes(t, words)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.binary())], names=["row", "shingles"])
+
+    return run
+
+
+def linked_within(sets: list[np.ndarray], comps: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Links (places) that join whatever sets of at least the similarity would join, beyond what ``comps`` joins already.
+
+    Overlaps of one set with all others are counts over the lists of its elements' holders.
+    """
+    n, out = len(sets), []
+    size = np.array([len(s) for s in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(n), size)
+    order = np.argsort(element, kind="stable")
+    holders, begin = holder[order], np.concatenate(([0], np.cumsum(np.bincount(element))))
+    edge = np.concatenate(([0], np.cumsum(size)))
+    _, root = np.unique(np.array(comps), return_inverse=True)
+    for i in range(n):
+        other = root != root[i]
+        if not other.any():
+            if (root == root[0]).all():
+                break
+            continue
+        if size[i]:
+            e = element[edge[i] : edge[i + 1]]
+            both = np.bincount(np.concatenate([holders[begin[x] : begin[x + 1]] for x in e]), minlength=n)
+            alike = both >= similarity * (size + size[i] - both)
+        else:
+            alike = size == 0
+        for j in np.flatnonzero(alike & other).tolist():
+            if root[j] != root[i]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _within(similarity: float):
+    """Rows sorted by group -> links of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(rows):
+            links = linked_within([np.frombuffer(r[2], np.uint64) for r in rows], [r[1] for r in rows], similarity)
+            a, b = (np.array([rows[link[side]][0] for link in links], np.int64) for side in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        held, group = [], None
+        for batch in batches:
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "row", "comp", "shingles")), strict=True):
+                if g != group and held:
+                    yield solved(held)
+                    held = []
+                group = g
+                held.append(row)
+        if held:
+            yield solved(held)
+
+    return run
+
+
+def dense_links(dense: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, row, comp) entries of dense runs -> links (a, b) that connect all that are alike in a run.
+
+    Each run meets its members' shingle sets in one task and gives a spanning forest at most, so rows grow with the
+    run, not with its square.  Runs of more than ``HELD`` bytes of sets are cut into blocks, and pairs of blocks are
+    groups of their own.
+    """
+    nodes = staged(dense.select("row").distinct(), "nodes")
+    sets = staged(few_or_joined(plain.select("row", "text"), nodes, "row").mapInArrow(_hash_sets(words), "row long, shingles binary"), "sets")
+    upto = Window.partitionBy("key").orderBy("row")
+    rows = dense.distinct().join(sets, "row")
+    sizes = rows.select("key", "row", F.floor(F.sum(F.octet_length("shingles") + 64).over(upto) / F.lit(HELD)).cast("int").alias("block"))
+    blocks = sizes.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
+    dealt = sizes.join(blocks, "key").select("key", "row", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("key", "row", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("group"))
+    rows = rows.join(dealt, ["key", "row"]).select("group", "row", "comp", "shingles")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_within(similarity), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, row_col: str | None = None) -> DataFrame:
@@ -563,8 +685,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fingerprints are up to NEAR bits apart and share a key (always, up to four bits; beyond that with falling chance).  A
     candidate is a link if the Jaccard similarity of its shingle sets reaches ``similarity``; texts without words are alike.
     A first pass verifies the least-distance trees of one table only, so that the second, over all tables, need not try
-    pairs that verified links connect already: large groups of copies do not grow with their square, and no component
-    differs from what all pairs give.  Of each component the row with the smallest doc_id is kept.
+    pairs that verified links connect already.  Of what is left, runs with many candidates per member are compared as a
+    whole in one task, which gives links that connect and not all pairs: no component differs from what all pairs give,
+    and rows do not grow with the square of a group.  Of each component the row with the smallest doc_id is kept.
+    Null and empty texts are alike; rows with null ids take part and come last.  An empty table gives an empty result.
     """
     plain = documents(docs, id_col, text_col, row_col)
     names = [f"fp{t or ''}" for t in range(TABLES)]
@@ -586,11 +710,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = staged(connected_components(linked(staged(same.unionByName(trees).unionByName(alike).distinct(), "pairs"))), "components")
 
     placed = staged(sets.join(known.withColumnRenamed("node", "first"), "first", "left").select(F.col("first").alias("row"), F.coalesce("root", "first").alias("comp"), *names), "placed")
-    pairs = None
+    pairs = dense = None
     for t in range(TABLES):
-        met = candidate_pairs(placed.select(F.col(names[t]).alias("fp"), F.col(names[(t + 1) % TABLES]).alias("other"), "comp", "row"))
-        pairs = met if pairs is None else pairs.unionByName(met)
+        met, many = candidate_pairs(placed.select(F.col(names[t]).alias("fp"), F.col(names[(t + 1) % TABLES]).alias("other"), "comp", "row"))
+        many = many.withColumn("key", F.xxhash64("key", F.lit(t)))
+        pairs, dense = (met, many) if pairs is None else (pairs.unionByName(met), dense.unionByName(many))
     more = linked(staged(pairs.distinct(), "pairs"))
+    if not dense.isEmpty():
+        more = more.unionByName(staged(dense_links(staged(dense, "dense"), plain, words, similarity), "linked"))
     parts = staged(connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
     rooted = staged(marked.select("doc_id", "row").join(parts.withColumnRenamed("node", "row"), "row", "left").select("doc_id", "row", F.coalesce("root", "row").alias("root")), "rooted")
     top = staged(rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("top")), "top")

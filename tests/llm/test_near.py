@@ -78,9 +78,76 @@ def test_candidates_are_all_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(*e, i) for i, e in enumerate(entries)], "fp long, other long, comp long, row long")
     want = _brute(entries)
     assert len(want) > 800
-    assert sorted((r["a"], r["b"]) for r in simhash.candidate_pairs(df).collect()) == want
-    monkeypatch.setattr(simhash, "RUN", 8)
-    assert sorted((r["a"], r["b"]) for r in simhash.candidate_pairs(df).collect()) == want
+    monkeypatch.setattr(simhash, "DENSE", 10_000)
+    for run in (simhash.RUN, 8):
+        monkeypatch.setattr(simhash, "RUN", run)
+        pairs, dense = simhash.candidate_pairs(df)
+        assert sorted((r["a"], r["b"]) for r in pairs.collect()) == want and dense.isEmpty()
+    # Of dense runs the members come: every pair that is not listed is in one of them.
+    monkeypatch.setattr(simhash, "DENSE", 1)
+    for run in (4096, 8):
+        monkeypatch.setattr(simhash, "RUN", run)
+        pairs, dense = simhash.candidate_pairs(df)
+        listed, members = {(r["a"], r["b"]) for r in pairs.collect()}, {}
+        for r in dense.collect():
+            members.setdefault(r["key"], set()).add(r["row"])
+        assert listed < set(want) and all(p in listed or any(set(p) <= m for m in members.values()) for p in want)
+
+
+def _family(n: int) -> list[str]:
+    """Near copies of one text, each with changes of its own, so that many pairs are just alike and many just not."""
+    rng, base = random.Random(6), _texts(77, 150)
+    return [" ".join(_changed(base, rng, rng.randint(1, 7))) for _ in range(n)]
+
+
+def test_dense_families_are_compared_as_a_whole(spark, monkeypatch):
+    texts = _family(160) + ["", "  "] + [" ".join(_texts(500 + i, 60)) for i in range(20)]
+    want, found = _components(texts)
+    assert found > 500
+    monkeypatch.setattr(simhash, "DENSE", 10_000)
+    listed = _grouped(spark, texts)
+    monkeypatch.setattr(simhash, "DENSE", 0)
+    monkeypatch.setattr(simhash, "HELD", 20_000)  # several blocks
+    whole = _grouped(spark, texts)
+    joins = lambda fine, coarse: len(set(zip(fine, coarse, strict=True))) == len(set(fine))
+    assert joins(listed, whole) and joins(whole, want)  # no link less than by pairs, and none that is not there
+    assert len(set(whole)) <= len(set(want)) + 3
+
+
+def test_links_within_join_what_all_pairs_join():
+    rng = random.Random(12)
+    for _ in range(30):
+        sets = [np.unique(np.array([rng.randrange(40) for _ in range(rng.choice([0, 6, 12, 30]))], np.uint64)) for _ in range(25)]
+        comps = [rng.randrange(60) for _ in sets]
+
+        def closed(links):
+            root = list(range(25))
+            for a, b in [*links, *((i, j) for j in range(25) for i in range(j) if comps[i] == comps[j])]:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+            return root
+
+        every = []
+        for j in range(25):
+            for i in range(j):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    every.append((i, j))
+        assert closed(simhash.linked_within(sets, comps, 0.8)) == closed(every)
+
+
+def test_recall_against_an_exact_join(spark, capsys):
+    """Pairs just above the similarity, where keys are met by chance: the share that ends in one group."""
+    rng, texts = random.Random(15), []
+    for n in range(200):
+        own = _texts(1000 + n, rng.choice([60, 150, 400]))
+        texts += [" ".join(own), " ".join(_changed(own, rng, max(1, round(len(own) * 0.02))))]
+    want, _ = _components(texts)
+    got = _grouped(spark, texts)
+    pairs = [(i, i + 1) for i in range(0, len(texts), 2) if want[i] == want[i + 1]]
+    share = sum(got[i] == got[j] for i, j in pairs) / len(pairs)
+    with capsys.disabled():
+        print(f"near stage: {share:.3f} of {len(pairs)} true pairs found")
+    assert len(pairs) > 100 and share >= 0.95
 
 
 def test_repeated_words_do_not_hide_texts(spark):
