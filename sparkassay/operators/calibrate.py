@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -11,8 +13,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.operators.models import Estimator
-from sparkassay.operators.split import class_folds
+from sparkassay.operators import select
+from sparkassay.operators.models import FITTERS, Estimator, Fitted
+from sparkassay.operators.split import class_folds, k_folds
 
 
 class TooFew(ValueError):
@@ -25,22 +28,39 @@ def require_members(df: DataFrame, label: str, folds: int) -> None:
         raise TooFew(f"a class has fewer than {folds} rows")
 
 
-def isotonic(df: DataFrame, score: str = "score", label: str = "y"):
-    """Fitted isotonic calibrator: a function DataFrame -> DataFrame with ``calibrated``."""
-    model = IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="calibrated").fit(df.withColumn(label, F.col(label).cast("double")))
-    return lambda x: model.transform(x)
+class Isotonic:
+    """A fitted isotonic calibrator: DataFrame -> DataFrame with ``calibrated``."""
 
+    def __init__(self, model) -> None:
+        self.model = model
 
-def sigmoid(df: DataFrame, score: str = "score", label: str = "y"):
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
+
+
+def isotonic(df: DataFrame, score: str = "score", label: str = "y") -> Isotonic:
+    return Isotonic(IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="calibrated").fit(df.withColumn(label, F.col(label).cast("double"))))
+
+
+class Sigmoid:
+    """A logistic curve of the score: DataFrame -> DataFrame with ``calibrated``."""
+
+    def __init__(self, slope: float, start: float, score: str = "score") -> None:
+        self.slope, self.start, self.score = slope, start, score
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("calibrated", 1 / (1 + F.exp(-(F.col(self.score) * F.lit(self.slope) + F.lit(self.start)))))
+
+
+def sigmoid(df: DataFrame, score: str = "score", label: str = "y") -> Sigmoid:
     """Platt scaling with its smoothed targets, both classes weighted in."""
     n = df.agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n")).first()
     high, low = (n["p"] + 1) / (n["p"] + 2), 1 / (n["n"] - n["p"] + 2)
     target = F.when(F.col(label) == 1, F.lit(high)).otherwise(F.lit(low))
     vec = array_to_vector(F.array(F.col(score).cast("double")))
-    rows = df.withColumns({"__x": vec, "__t": target}).withColumn("__c", F.explode(F.array(F.lit(0.0), F.lit(1.0)))).withColumn("__w", F.when(F.col("__c") == 1, F.col("__t")).otherwise(1 - F.col("__t")))
+    rows = df.select(vec.alias("__x"), target.alias("__t")).withColumn("__c", F.explode(F.array(F.lit(0.0), F.lit(1.0)))).withColumn("__w", F.when(F.col("__c") == 1, F.col("__t")).otherwise(1 - F.col("__t")))
     m = LogisticRegression(featuresCol="__x", labelCol="__c", weightCol="__w").fit(rows)
-    a, b = float(m.coefficients[0]), float(m.intercept)
-    return lambda x: x.withColumn("calibrated", 1 / (1 + F.exp(-(F.col(score) * F.lit(a) + F.lit(b)))))
+    return Sigmoid(float(m.coefficients[0]), float(m.intercept), score)
 
 
 class VennAbers:
@@ -104,45 +124,59 @@ class VennAbers:
         out = df.withColumn("__va", look(F.col(score).cast("double")))
         return venn_abers_probability(out.select(*df.columns, "__va.p0", "__va.p1"))
 
+    __call__ = transform
+
 
 def venn_abers_probability(df: DataFrame) -> DataFrame:
     return df.withColumn("calibrated", F.col("p1") / (1 - F.col("p0") + F.col("p1"))).withColumn("uncertainty", F.col("p1") - F.col("p0"))
 
 
-CALIBRATORS = {"isotonic": isotonic, "sigmoid": sigmoid, "vennabers": lambda df, s="score", y="y": (lambda m: lambda x: m.transform(x, s))(VennAbers().fit(df, s, y))}
+CALIBRATORS = {"isotonic": isotonic, "sigmoid": sigmoid, "vennabers": lambda df: VennAbers().fit(df)}
 
 
-def calibrated_cv(df: DataFrame, estimator: Estimator, key: str, features: str = "features", label: str = "y", method: str = "isotonic", folds: int = 5, ensemble: bool = True):
+def _marked(df: DataFrame, features: str, label: str) -> DataFrame:
+    """Folds are dealt by the row's content, so that no key need be known."""
+    return df.withColumn("__key", F.md5(F.concat_ws("|", F.col(features).cast("string"), F.col(label).cast("string"))))
+
+
+@dataclass
+class Calibrated:
+    """Classifiers with the calibrators of their scores; their means are the answer."""
+
+    parts: list[tuple[Fitted, Callable[[DataFrame], DataFrame]]]
+    features: str
+    classification: bool = True
+    width: int = 0
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds prediction, probability and, where the calibrators give it, uncertainty."""
+        total, doubt, n = F.lit(0.0), F.lit(0.0), len(self.parts)
+        out, unsure = df, False
+        for i, (model, calibrator) in enumerate(self.parts):
+            out = calibrator(model.transform(out).withColumn("score", F.col("probability")).drop("prediction", "probability"))
+            out = out.withColumnRenamed("calibrated", f"__c{i}").drop("score", "p0", "p1")
+            total = total + F.col(f"__c{i}")
+            if isinstance(calibrator, VennAbers):
+                out, unsure = out.withColumnRenamed("uncertainty", f"__u{i}"), True
+                doubt = doubt + F.col(f"__u{i}")
+        out = out.withColumn("probability", total / n).withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
+        return out.select(*df.columns, "prediction", "probability", *([(doubt / n).alias("uncertainty")] if unsure else []))
+
+
+def calibrated_cv(df: DataFrame, estimator: Estimator, features: str = "features", label: str = "y", method: str = "isotonic", folds: int = 5, ensemble: bool = True) -> Calibrated:
     """Fit per fold and calibrate on the rest, or one calibrator on all out-of-fold scores and a refit on everything."""
     require_members(df, label, folds)
-    dealt = class_folds(df, key, label, folds)
+    dealt = class_folds(_marked(df, features, label), "__key", label, folds)
     parts, held = [], []
     for i in range(folds):
         model = estimator.fit(dealt.filter(F.col("_fold") != i), features, label)
-        scored = model.transform(dealt.filter(F.col("_fold") == i)).withColumn("score", F.col("probability"))
+        scored = model.transform(dealt.filter(F.col("_fold") == i)).select(label, F.col("probability").alias("score"))
         if ensemble:
             parts.append((model, CALIBRATORS[method](scored)))
-        held.append(scored.select(key, label, "score"))
+        held.append(scored)
     if not ensemble:
-        whole = held[0]
-        for h in held[1:]:
-            whole = whole.unionByName(h)
-        parts = [(estimator.fit(df, features, label), CALIBRATORS[method](whole))]
-
-    def predict(x: DataFrame) -> DataFrame:
-        total, doubt = F.lit(0.0), F.lit(0.0)
-        out = x
-        for i, (model, calibrator) in enumerate(parts):
-            out = calibrator(model.transform(out).withColumn("score", F.col("probability")).drop("prediction", "probability"))
-            out = out.withColumnRenamed("calibrated", f"__c{i}").drop("score", "p0", "p1")
-            total = total + F.col(f"__c{i}")
-            if "uncertainty" in out.columns:
-                out = out.withColumnRenamed("uncertainty", f"__u{i}")
-                doubt = doubt + F.col(f"__u{i}")
-        more = {"uncertainty": doubt / len(parts)} if "__u0" in out.columns else {}
-        return out.withColumns({"calibrated": total / len(parts), **more}).select(*x.columns, "calibrated", *more)
-
-    return predict
+        parts = [(estimator.fit(df, features, label), CALIBRATORS[method](select.union_all(held)))]
+    return Calibrated(parts, features)
 
 
 def conformal_width(residuals: DataFrame, residual: str = "residual", alpha: float = 0.05) -> DataFrame:
@@ -150,19 +184,39 @@ def conformal_width(residuals: DataFrame, residual: str = "residual", alpha: flo
     return residuals.agg((2 * F.percentile(F.abs(F.col(residual)), F.lit(1 - alpha))).alias("width"))
 
 
-def cross_conformal(df: DataFrame, estimator: Estimator, key: str, features: str = "features", label: str = "y", folds: int = 5, alpha: float = 0.05):
-    """A fitted model with interval widths from out-of-fold residuals."""
-    from sparkassay.operators.split import k_folds
+@dataclass
+class Conformal:
+    """A regressor whose answers carry the width of their interval."""
+
+    model: Fitted
+    interval: float
+    features: str
+    classification: bool = False
+    width: int = 0
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df).withColumn("uncertainty", F.when(F.col("prediction").isNotNull(), F.lit(float(self.interval))))
 
-    dealt = k_folds(df, key, folds, 42)
-    rest = None
+
+def cross_conformal(df: DataFrame, estimator: Estimator, features: str = "features", label: str = "y", folds: int = 5, alpha: float = 0.05) -> Conformal:
+    """A fitted model with interval widths from out-of-fold residuals."""
+    dealt = k_folds(_marked(df, features, label), "__key", folds, 42)
+    held = []
     for i in range(folds):
         scored = estimator.fit(dealt.filter(F.col("_fold") != i), features, label).transform(dealt.filter(F.col("_fold") == i))
-        part = scored.select((F.col(label) - F.col("prediction")).alias("residual"))
-        rest = part if rest is None else rest.unionByName(part)
-    width = conformal_width(rest, alpha=alpha).first()["width"]
-    model = estimator.fit(df, features, label)
-    return lambda x: model.transform(x).withColumn("uncertainty", F.when(F.col("prediction").isNotNull(), F.lit(width)))
+        held.append(scored.select((F.col(label) - F.col("prediction")).alias("residual")))
+    return Conformal(estimator.fit(df, features, label), conformal_width(select.union_all(held), alpha=alpha).first()["width"], features)
+
+
+def _calibrated(df, features, response, estimator=None, method="sigmoid", n_folds=5, ensemble=True, **_):
+    return calibrated_cv(df.drop("__x"), Estimator(**estimator), features, response, method, n_folds, ensemble)
+
+
+def _conformal(df, features, response, estimator=None, mapie_alpha=0.05, **_):
+    return cross_conformal(df.drop("__x"), Estimator(**estimator), features, response, alpha=mapie_alpha)
+
+
+FITTERS |= {"CalibratedClassifierCVWithVA": _calibrated, "Mapie": _conformal}
 
 
 def linear_explanation(df: DataFrame, features: str, weights: list[float], means: list[float] | None = None) -> DataFrame:

@@ -63,6 +63,13 @@ def physchem(key: Column) -> Column:
     return from_strings(lambda s: chem.properties(chem.parse(s)))(key)
 
 
+def packed(bits: Column) -> Column:
+    """A 0/1 vector as an array of longs of 63 bits each."""
+    count = F.ceil(F.size(bits) / F.lit(63)).cast("int")
+    word = lambda i: F.aggregate(F.slice(bits, i * 63 + 1, F.lit(63)), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1) + x.cast("long"))
+    return F.when(bits.isNotNull(), F.transform(F.sequence(F.lit(0), count - 1), word))
+
+
 def valid(key: Column) -> Column:
     @F.pandas_udf("boolean")
     def run(keys: pd.Series) -> pd.Series:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkassay.operators.dedup import keep_first
@@ -102,11 +102,26 @@ def binarised(df: DataFrame, names: Sequence[str], classification: bool) -> Data
     kinds = dict(df.dtypes)
     for c in names:
         if kinds[c] == "string":
-            codes = df.select(c).distinct().filter(F.col(c).isNotNull()).agg(F.array_sort(F.collect_set(c))).scalar()
-            df = df.withColumn(c, (F.array_position(codes, F.col(c)) - 1).cast("double"))
+            codes = df.select(F.col(c).alias("__c")).filter(F.col(c).isNotNull()).distinct()
+            codes = codes.withColumn("__code", (F.row_number().over(Window.orderBy("__c")) - 1).cast("double"))  # a window over categories, not rows
+            df = df.join(codes, F.col(c) == F.col("__c"), "left").withColumn(c, F.col("__code")).drop("__c", "__code")
         else:
             df = df.withColumn(c, F.col(c).cast("double"))
     if classification:
         means = df.agg(*[F.avg(c).alias(c) for c in names]).first()
         df = df.withColumns({c: (F.col(c) > means[c]).cast("double") for c in names})
     return df
+
+
+def eliminated(df: DataFrame, names: Sequence[str], response: str, share: float = 0.1) -> list[str]:
+    """Recursive elimination: the columns left when a ridge model's least weights have gone, a tenth at a time, down to ``share``."""
+    from sparkassay.operators.models import Estimator
+
+    names, least = list(names), max(1, round(len(names) * share))
+    spread = df.agg(*[F.stddev_pop(c).alias(c) for c in names]).first()
+    while len(names) > least:
+        m = Estimator("Ridge", {"alpha": 1.0}).fit(df.select(F.array(*[F.col(c).cast("double") for c in names]).alias("features"), F.col(response).cast("double").alias("y")).na.drop())
+        weight = {c: abs(float(w)) * (spread[c] or 0.0) for c, w in zip(names, m.model.coefficients, strict=True)}
+        gone = sorted(names, key=lambda c: (weight[c], c))[: max(1, min(len(names) - least, len(names) // 10))]
+        names = [c for c in names if c not in gone]
+    return names

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkassay.functions.ranking import running, value_bucket
+from sparkassay.operators import select
 
 
 def regression(y: str = "y", p: str = "p") -> list[Column]:
@@ -68,11 +69,8 @@ def binary(df: DataFrame, y: str = "y") -> bool:
     return x["k"] == 2 and x["a"] == 0 and x["b"] == 1
 
 
-def ranking(df: DataFrame, y: str = "y", score: str = "score", alpha: float = 20.0, pi_zero: float = 0.1) -> DataFrame:
-    """roc_auc, average_precision, auc_pr_cal, bedroc and concordance_index in one row; null unless labels are 0 and 1.
-
-    bedroc ranks tied scores by their mean rank's neighbours in a fixed order: see ``bedroc``.
-    """
+def ranking(df: DataFrame, y: str = "y", score: str = "score", pi_zero: float = 0.1) -> DataFrame:
+    """roc_auc, average_precision, auc_pr_cal and concordance_index in one row; null unless labels are 0 and 1."""
     p, n = _totals(df, y)
     if not binary(df, y):
         return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in ("roc_auc", "average_precision", "auc_pr_cal", "concordance_index")])
@@ -102,8 +100,11 @@ def _calibration_ratio(pi: float, pi_zero: float) -> float:
 
 
 def bedroc(df: DataFrame, y: str = "y", score: str = "score", tie: str = "id", alpha: float = 20.0) -> DataFrame:
-    """Boltzmann-enhanced discrimination from the ranks of positives, best score first, ties by ``tie``."""
+    """Boltzmann-enhanced discrimination from the ranks of positives, best score first, ties by ``tie``; null unless labels
+    are 0 and 1."""
     p, n = _totals(df, y)
+    if not binary(df, y):
+        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("bedroc"))
     ranks = running(df.withColumn("__d", -F.col(score).cast("double")), value_bucket(df, -F.col(score).cast("double")), [F.col("__d"), F.col(tie)], {"r": F.lit(1).cast("long")})
     import math
 
@@ -118,3 +119,42 @@ def calibration_curve(df: DataFrame, y: str = "y", score: str = "score", bins: i
     """Per uniform bin of [0, 1]: mean score and share of positives; empty bins are left out."""
     at = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
     return df.groupBy(at.alias("bin")).agg(F.avg(score).alias("mean_score"), F.avg(F.col(y).cast("double")).alias("share"), F.count("*").alias("n"))
+
+
+def cumulative_curve(df: DataFrame, y: str = "y", p: str = "p", bins: int = 15) -> DataFrame:
+    """Calibration of continuous responses: per uniform bin of the truth's range (bin, edge, share_true, share_predicted), the
+    shares of all rows up to the bin's end.  Predictions outside the range are in no bin; no rows give no bins."""
+    x = df.agg(F.min(y).cast("double").alias("a"), F.max(y).cast("double").alias("b"), F.count(y).alias("n")).first()
+    if not x["n"]:
+        return df.sparkSession.createDataFrame([], "bin int, edge double, share_true double, share_predicted double")
+    low, high = (x["a"], x["b"]) if x["a"] < x["b"] else (x["a"] - 0.5, x["b"] + 0.5)
+    edges = [low + (high - low) * i / bins for i in range(bins)] + [high]
+    both = select.histogram(df, y, edges).select("bin", F.col("low").alias("edge"), F.col("n").alias("t")).join(select.histogram(df, p, edges).select("bin", F.col("n").alias("q")), "bin")
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # over one row per bin
+    return both.select("bin", "edge", *[(F.sum(c).over(upto) / F.lit(x["n"])).alias(n) for c, n in (("t", "share_true"), ("q", "share_predicted"))])
+
+
+def calibration_points(df: DataFrame, y: str = "y", p: str = "p", bins: int = 15) -> DataFrame:
+    """(bin, edge, share_true, share_predicted): the curve of probabilities where labels are 0 and 1 and predictions within
+    0 and 1, else the cumulative one."""
+    inside = df.agg(F.min(p).alias("a"), F.max(p).alias("b")).first()
+    if inside["a"] is not None and 0 <= inside["a"] and inside["b"] <= 1 and binary(df, y):
+        return calibration_curve(df, y, p, bins).select("bin", F.col("mean_score").alias("edge"), F.col("share").alias("share_true"), F.col("mean_score").alias("share_predicted"))
+    return cumulative_curve(df, y, p, bins)
+
+
+REGRESSION = ("explained_variance", "max_error", "neg_mean_absolute_error", "neg_mean_squared_error", "neg_median_absolute_error", "r2")
+LABELS = tuple(f"{n}{x}" for n in ("precision", "recall", "f1", "jaccard") for x in ("", "_macro", "_micro", "_weighted"))
+CLASSIFICATION = ("accuracy", "balanced_accuracy", *LABELS, "neg_brier_score", "roc_auc", "average_precision", "auc_pr_cal", "bedroc", "concordance_index")
+
+
+def all_scores(df: DataFrame, classification: bool, y: str = "y", p: str = "prediction", score: str = "probability", tie: str = "key") -> DataFrame:
+    """One row with every metric of the kind; rows without a prediction do not count."""
+    df = df.filter(F.col(p).isNotNull())
+    if not classification:
+        return df.agg(*regression(y, p))
+    parts = [confusion(df, y, p), df.agg(neg_brier(y, score)), ranking(df, y, score), bedroc(df, y, score, tie)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(part)  # of one row each
+    return out

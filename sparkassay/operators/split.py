@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.functions.mathx import hashed
 from sparkassay.functions.ranking import hash_bucket, ranked, value_bucket
+from sparkassay.operators import select
 
 
 def _labelled(test: Column, train: Column) -> Column:
@@ -91,43 +92,70 @@ def width_fd(df: DataFrame, value: str) -> float:
     return 2 * (x["u"] - x["l"]) / x["n"] ** (1 / 3) if x["n"] else 0.0
 
 
-def stratum_edges(df: DataFrame, value: str, least: int = 10) -> list[float]:
-    """Inner edges of strata: Freedman-Diaconis bins, merged until each has ``least`` rows.
+def fd_edges(df: DataFrame, value: str) -> list[float]:
+    """Edges of Freedman-Diaconis bins, both edges of each bin that has rows: runs of empty bins are one bin.
 
-    Bins come to the driver as counts only: as many as the value's range has widths, at most.
+    Only distinct bins come to the driver, at most as many as the value's range has widths.
     """
     width = width_fd(df, value)
-    low = df.agg(F.min(value)).first()[0]
-    if not width or low is None:
+    ends = df.agg(F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b")).first()
+    if not width or ends["a"] is None:
         return []
-    bins = df.groupBy(F.floor((F.col(value) - F.lit(low)) / F.lit(width)).alias("b")).count().orderBy("b").collect()
-    edges, filled = [], 0
-    for r in bins[:-1]:
-        filled += r["count"]
-        if filled >= least:
-            edges.append(low + (r["b"] + 1) * width)
-            filled = 0
-    if edges and filled + bins[-1]["count"] < least:
-        edges.pop()
-    return edges
+    at = F.floor((F.col(value) - F.lit(ends["a"])) / F.lit(width))
+    bins = sorted(r["b"] for r in df.filter(F.col(value).isNotNull()).select(at.alias("b")).distinct().collect())
+    return [ends["a"] + b * width for b in sorted({x for b in bins for x in (b, b + 1)})] + [ends["b"] + width]
+
+
+def uniform_edges(df: DataFrame, value: str, bins: int) -> list[float]:
+    ends = df.agg(F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b")).first()
+    if ends["a"] is None:
+        return []
+    return [ends["a"] + (ends["b"] - ends["a"]) * i / bins for i in range(bins)] + [ends["b"]]
+
+
+def stratum_edges(df: DataFrame, value: str, least: int = 10, bins: str | int = "fd_merge") -> list[float]:
+    """Edges between strata: of histogram bins with fewer than ``least`` rows the left edge goes, so that they join the
+    bin before; if the first bin has at most ``least``, so does the first edge left."""
+    edges = uniform_edges(df, value, bins) if isinstance(bins, int) else fd_edges(df, value)
+    if len(edges) < 2 or edges[0] == edges[-1]:
+        return []
+    filled = {r["bin"]: r["n"] for r in select.histogram(df.select(value), value, edges).collect()}  # one row per bin
+    kept = [e for i, e in enumerate(edges[:-1]) if filled[i] >= least] + edges[-1:]
+    if filled[0] <= least:
+        kept = kept[1:]
+    # The outermost edges take in the least and the greatest value.
+    return [e if e != edges[0] else float("-inf") for e in kept if e != edges[-1]]
 
 
 def stratum(value: Column, edges: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= value)) if edges else F.lit(0)
 
 
-def stratified_split(df: DataFrame, key: str, value: str, fraction: float = 0.2, seed: int = 1, binned: bool = True) -> DataFrame:
-    """ceil(n * fraction) test rows, shared out over the strata by largest remainder."""
-    rows = df.withColumn("__g", stratum(F.col(value), stratum_edges(df, value)) if binned else F.col(value))
-    counts = rows.groupBy("__g").agg(F.count("*").alias("n")).collect()  # one row per stratum
-    test = _ceil(sum(r["n"] for r in counts) * fraction)
-    given = {r["__g"]: _floor(r["n"] * fraction) for r in counts}
-    rest = sorted(counts, key=lambda r: (-(r["n"] * fraction - given[r["__g"]]), r["__g"]))
-    for r in rest[: test - sum(given.values())]:
-        given[r["__g"]] += 1
+def stratified_split(df: DataFrame, key: str, value: str, fraction: float = 0.2, seed: int = 1, binned: bool = True, leave_out: float = 0.0, bins: str | int = "fd_merge") -> DataFrame:
+    """ceil(n * fraction) test rows, shared out over the strata by largest remainder; with ``leave_out`` then
+    floor(n * (1 - fraction - leave_out)) train rows, shared out likewise, and the others unused."""
+    rows = df.withColumn("__g", stratum(F.col(value), stratum_edges(df, value, bins=bins)) if binned else F.col(value))
+    counts = {r["__g"]: r["n"] for r in rows.groupBy("__g").agg(F.count("*").alias("n")).collect()}  # one row per stratum
+    n = sum(counts.values())
+    test = _shared(counts, counts, _ceil(n * fraction))
+    left = {g: counts[g] - test[g] for g in counts}
+    train = _shared(counts, left, _floor(n * (1 - fraction - leave_out))) if leave_out else left
     rows = _ranked_within(rows.withColumn("__h", hashed(seed, F.col(key))), F.col("__g"), "__rank", key)
-    quota = F.element_at(F.create_map(*[F.lit(x) for g, n in given.items() for x in (g, n)]), F.col("__g"))
-    return rows.withColumn("_split", F.when(F.col("__rank") <= quota, "test").otherwise("train")).drop("__g", "__h", "__rank")
+    quota = lambda given: F.element_at(F.create_map(*[F.lit(x) for g, k in given.items() for x in (g, k)]), F.col("__g"))
+    if not counts:
+        return df.withColumn("_split", F.lit("train"))
+    return rows.withColumn("_split", _labelled(F.col("__rank") <= quota(test), F.col("__rank") <= quota({g: test[g] + train[g] for g in counts}))).drop("__g", "__h", "__rank")
+
+
+def _shared(counts: dict, room: dict, wanted: int) -> dict:
+    """``wanted`` rows over strata in proportion to their size, by largest remainder, none beyond its room."""
+    n = max(1, sum(counts.values()))
+    given = {g: min(room[g], _floor(c * wanted / n)) for g, c in counts.items()}
+    order = sorted(counts, key=lambda g: (-(counts[g] * wanted / n - given[g]), g))
+    while (rest := wanted - sum(given.values())) > 0 and (open_ := [g for g in order if given[g] < room[g]]):
+        for g in open_[:rest]:
+            given[g] += 1
+    return given
 
 
 def predefined_split(df: DataFrame, column: str) -> DataFrame:
@@ -183,6 +211,24 @@ def group_split(df: DataFrame, group: str, label: str, folds: int = 5, seed: int
     return group_folds(df, group, label, folds, seed).withColumn("_split", F.when(F.col("_fold") == 0, "test").otherwise("train")).drop("_fold")
 
 
+def scaffold_split(df: DataFrame, key: str, value: str, scaffold: str, classification: bool = False, cluster: float = 0.4, bits: str | None = None, bins: str | int = "fd_merge", folds: int = 5, seed: int = 42) -> DataFrame:
+    """Whole scaffolds to one side: the first of the stratified group folds over scaffolds is the test set.
+
+    With ``cluster`` above zero, scaffolds whose fingerprints (packed in ``bits``, one per scaffold) are at most so far
+    apart share a group: those of their Butina cluster.  Rows without a scaffold are of one group.  Strata are the
+    classes, or histogram bins of a continuous response.
+    """
+    rows = df.withColumn("__scaffold", F.coalesce(F.col(scaffold), F.lit("")))
+    if cluster > 0 and bits:
+        each = rows.groupBy("__scaffold").agg(F.first(bits).alias("__bits"))
+        near = tanimoto_pairs(each.filter(F.col("__bits").isNotNull()), "__scaffold", "__bits", 1 - cluster)
+        rows = rows.join(butina(near, each.select("__scaffold"), "__scaffold"), "__scaffold").withColumnRenamed("cluster", "__group")
+    else:
+        rows = rows.withColumn("__group", F.col("__scaffold"))
+    rows = rows.withColumn("__stratum", F.col(value) if classification else stratum(F.col(value), stratum_edges(df, value, bins=bins)))
+    return group_split(rows, "__group", "__stratum", folds, seed).select(*df.columns, "_split")
+
+
 def popcount(bits: Column) -> Column:
     return F.aggregate(bits, F.lit(0), lambda a, x: a + F.bit_count(x))
 

@@ -28,6 +28,8 @@ class Dataset:
     log: dict | None = None
     threshold: dict | None = None
     vector_column: str | None = None
+    molecules: bool = False
+    reactions: bool = False
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,17 @@ class Optimization:
     algorithms: list[str]
     settings: Settings = field(default_factory=Settings)
     spaces: dict[str, dict] = field(default_factory=dict)
+    descriptors: list[dict] = field(default_factory=list)
+
+    @property
+    def classification(self) -> bool:
+        """What kind of task it is follows from the algorithms, which must agree."""
+        from sparkassay.operators.models import CLASSIFIERS
+
+        kinds = {a in CLASSIFIERS for a in self.algorithms}
+        if len(kinds) != 1:
+            raise ValueError("algorithms of one kind are needed, classifiers or regressors")
+        return kinds.pop()
 
 
 @dataclass(frozen=True)
@@ -56,6 +69,7 @@ class Build:
     data: Dataset
     algorithm: str
     params: dict = field(default_factory=dict)
+    descriptor: dict | None = None
 
 
 def strict(kind: type, values: dict[str, Any]):

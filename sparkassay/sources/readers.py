@@ -33,10 +33,13 @@ def read_table(spark: SparkSession, path: str | None, schema: T.StructType | Non
     raise UnsupportedFormat(f"neither CSV, SDF nor Parquet: {path}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """UTF-8, or Latin-1 where a file is no valid UTF-8; blanks before values are dropped."""
-    options = {"header": True, "ignoreLeadingWhiteSpace": True, "multiLine": True, "escape": '"'}
-    bad = spark.read.format("binaryFile").load(path).select(F.is_valid_utf8(F.col("content").cast("string")).alias("ok")).filter("not ok")
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """UTF-8, or Latin-1 where a line is no valid UTF-8; blanks before values are dropped.
+
+    Lines are read apart, so large files are split; ``multi_line`` reads values that hold line breaks, a file per task.
+    """
+    options = {"header": True, "ignoreLeadingWhiteSpace": True, "multiLine": multi_line, "escape": '"'}
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
     encoding = "UTF-8" if bad.isEmpty() else "ISO-8859-1"
     reader = spark.read.options(**options, encoding=encoding)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
@@ -85,6 +88,23 @@ def inline(spark: SparkSession, values: Sequence[str], name: str = "key") -> Dat
     return spark.createDataFrame([(v,) for v in values], f"`{name}` string")
 
 
+def numbered(df: DataFrame, name: str = "_line") -> DataFrame:
+    """Rows with their 1-based place in the scan: counts per partition give each one's offset."""
+    from sparkassay.functions.ranking import ranked
+
+    rows = df.withColumn("__m", F.monotonically_increasing_id())
+    return ranked(rows, F.shiftright("__m", 33).cast("int"), [F.col("__m")], name).drop("__m")
+
+
+def side_information_file(df: DataFrame, key: str, canonical: Column | None = None) -> DataFrame:
+    """(key, one column per task): all columns but the key are tasks; rows under the key as given and as canonicalised, no row twice."""
+    tasks = [F.col(c).alias(c) for c in df.columns if c != key]
+    rows = df.select(F.col(key).alias("key"), *tasks)
+    if canonical is not None:
+        rows = rows.unionByName(df.select(canonical.alias("key"), *tasks))
+    return rows.filter(F.col("key").isNotNull()).distinct()
+
+
 def vector_file(df: DataFrame, key: str, vector: str, canonical: Column | None = None, delimiter: str = ",") -> DataFrame:
     """(key, features): parsed vectors under the key as given and, if another, as canonicalised; nulls and repeats go."""
     from sparkassay.functions.mathx import vector as parsed
