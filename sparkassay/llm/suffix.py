@@ -39,7 +39,7 @@ LENGTH = 400
 GRAM = 32
 WIDTH = 64  # offsets that a range has at first
 HOT = 500
-SHARD = 4 << 20
+SHARD = 1 << 20
 BUCKET = 48 << 20
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
