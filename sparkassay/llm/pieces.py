@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkassay.llm.common import documents
+from sparkassay.llm.common import documents, slices
 
 MARK = "▁"
 _KEPT = 200_000  # words and pairs kept in a worker; what goes is found anew when it comes again
@@ -117,8 +117,10 @@ class Codec:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         #: words met of late, and those of the time before: what comes often stays, what came once goes
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        #: words whose ids decode to other bytes than theirs
+        self.odd: dict[str, bytes] = {}
         self.names, self.end = {p: str(i) for p, i in m.ids.items()}, str(m.end)
         self.surfaces = {str(i): p.replace(MARK, " ").encode() if t == _NORMAL else bytes([int(p[3:5], 16)]) if t == _BYTE else b"" for i, (p, _, t) in enumerate(m.pieces)}
         self.chars = {p for p in m.ids if len(p) == 1}
@@ -171,51 +173,57 @@ class Codec:
                 left = out[-1] if out else ""
                 token = shorter[token]
 
-    def _chunk(self, chunk: str) -> tuple[int, str, bytes]:
+    def _chunk(self, chunk: str) -> list[str]:
         if self.chars.issuperset(chunk):
-            ids = list(map(self.names.__getitem__, self._word(chunk) if chunk[-1] != MARK else self.model.merged(chunk)))
-        else:
-            ids = []
-            for known, other in self.split.findall(chunk):
-                if other:
-                    ids += [str(self.model.bytes[b]) for b in other.encode("utf-8", "surrogatepass")]
-                else:
-                    ids += [self.names[t] for t in (self._word(known) if known[-1] != MARK else self.model.merged(known))]
-        return len(ids), " ".join(ids), self.surface(ids)
-
-    def chunk(self, chunk: str, key: str) -> tuple[int, str, bytes]:
-        """Of one word with the marks before it: the number of ids, the ids, and the bytes that these ids decode to."""
-        found = self.older.get(key)
+            return list(map(self.names.__getitem__, self._word(chunk) if chunk[-1] != MARK else self.model.merged(chunk)))
+        ids: list[str] = []
+        for known, other in self.split.findall(chunk):
+            if other:
+                ids += [str(self.model.bytes[b]) for b in other.encode("utf-8", "surrogatepass")]
+            else:
+                ids += [self.names[t] for t in (self._word(known) if known[-1] != MARK else self.model.merged(known))]
+        return ids
+
+    def _new(self, word: str) -> str:
+        """The ids of a word after one space, joined by spaces; what they decode to is kept if it is not that again."""
+        found = self.older.get(word)
         if found is None:
-            found = self._chunk(chunk)
-        if len(chunk) <= 64:
+            ids = self._chunk(MARK + word)
+            if (data := self.surface(ids)) != (" " + word).encode("utf-8", "surrogatepass"):
+                self.odd[word] = data
+            found = " ".join(ids)
+        if len(word) <= 64:
             if len(self.known) >= _KEPT:
                 self.known, self.older = {}, self.known
-            self.known[key] = found
+            self.known[word] = found
         return found
 
-    def _parts(self, text: str) -> list[tuple[int, str, bytes]]:
+    def round_trip(self, text: str) -> tuple[int, str, str]:
+        """Of a whole text: the number of ids with the end id, the ids joined by spaces, and the text that they decode to."""
         if not text:
-            return []
+            return 1, self.end, ""
         words = text.split(" ")
         if not self.model.prefix or MARK in text or "" in words:  # marks in other places than one before each word
-            words = self.chunks.findall((MARK if self.model.prefix else "") + text.replace(" ", MARK))
-            return [self.known.get(w) or self.chunk(w, w) if w[0] == MARK else self._chunk(w) for w in words]
+            chunks = self.chunks.findall((MARK if self.model.prefix else "") + text.replace(" ", MARK))
+            parts = [(self.known.get(w) or self._new(w)) if c[0] == MARK and (w := c[1:]) and MARK not in w else " ".join(self._chunk(c)) for c in chunks]
+            ids = " ".join(parts)
+            return ids.count(" ") + 2, f"{ids} {self.end}", self._text(self.surface(ids.split(" ")))
         parts = list(map(self.known.get, words))
         if None in parts:
-            parts = [self.known.get(w) or self.chunk(MARK + w, w) if p is None else p for p, w in zip(parts, words, strict=True)]
-        return parts
+            parts = [self.known.get(w) or self._new(w) if p is None else p for p, w in zip(parts, words, strict=True)]
+        if self.odd and not self.odd.keys().isdisjoint(words):
+            data = b"".join([self.odd[w] if w in self.odd else (" " + w).encode("utf-8", "surrogatepass") for w in words])
+        else:
+            data = (" " + text).encode("utf-8", "surrogatepass")
+        parts.append(self.end)
+        joined = " ".join(parts)
+        return joined.count(" ") + 1, joined, self._text(data)
 
     def encode(self, text: str) -> tuple[int, str]:
         """Ids of a whole text with the end id, joined by spaces, and their number."""
         n, ids, _ = self.round_trip(text)
         return n, ids
 
-    def round_trip(self, text: str) -> tuple[int, str, str]:
-        """What ``encode`` gives, and what ``decode`` makes of it: the bytes of a word's ids are kept with them."""
-        n, ids, data = zip(*self._parts(text), (1, self.end, b""), strict=True)
-        return sum(n), " ".join(ids), self._text(b"".join(data))
-
     def surface(self, ids: list[str]) -> bytes:
         """Bytes that ids stand for, before the mark ahead of the text goes."""
         return b"".join([self.surfaces[i] for i in ids])
@@ -244,7 +252,7 @@ def codec_of(data: bytes) -> Codec:
 def _encoded(data: bytes, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(data)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             n, ids_sha, text_sha, ids, texts = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 count, joined, back = codec.round_trip(text)

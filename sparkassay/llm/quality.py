@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm.common import documents
+from sparkassay.llm.common import documents, slices
 
 BITS = 17
 DIMENSIONS = 8
@@ -120,7 +120,7 @@ def score(text: str, table: np.ndarray, bias: float) -> float:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text"):
         found = [np.unique(features(t), return_counts=True) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32()))], names=["doc_id", "label", "ids", "counts"])
 
@@ -128,7 +128,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scored(table: np.ndarray, bias: float, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = table.astype(np.float64)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             s = [score(t, wide, bias) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "score", "predicted"])
 
@@ -142,11 +142,14 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Folded model from at most ``sample`` labelled rows that are not held out.
 
-    Rows with null ids or labels teach nothing; without any labels every score is one half.
+    Rows with null ids or labels teach nothing; without any labels every score is one half.  Of clashing labels of one
+    id the greater counts; of rows that repeat an id one teaches, that with the least text hash.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(~held_out())
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").mapInArrow(_counted, "doc_id long, label int, ids array<int>, counts array<int>").toArrow()
+    texts = documents(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    once = texts.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("one")).select("doc_id", "one.text", "one.label")
+    rows = once.mapInArrow(_counted, "doc_id long, label int, ids array<int>, counts array<int>").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")[: 2 * sample]
     model = Classifier()
     ids, counts = (rows.column(c).combine_chunks() for c in ("ids", "counts"))
@@ -172,12 +175,15 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score reaches the threshold, with all their columns."""
+    """The rows whose score reaches the threshold, with all their columns.
+
+    Null and empty texts have the score of no features; repeated rows share one fate; an empty table stays empty.
+    """
     table, bias = train(docs, labels, id_col, text_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = table.astype(np.float64)
-        for batch in batches:
+        for batch in slices(batches, text_col):
             yield batch.filter(pa.array([score(t or "", wide, bias) >= threshold for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
