@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkassay.functions import mathx
-from sparkassay.operators import calibrate, dedup, joins, metrics, neighbours, split, transform, validate
+from sparkassay.operators import calibrate, dedup, joins, metrics, neighbours, select, split, transform, validate
 from sparkassay.operators.models import Estimator
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -698,3 +698,118 @@ def fea_composite(spark, d):
 
     e = table(spark, d, "embeddings")
     return e.select("vec_id", composite(F.slice(F.col("embedding").cast("array<double>"), 1, 3), F.array(F.col("label").cast("double"))).alias("features"))
+
+
+# ------------------------------------------------------------------ selections, histograms, strata, votes
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def srt_task_ids(spark, d):
+    return select.task_ids(table(spark, d, "events"), "event_type")
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
+def flt_task_slice(spark, d):
+    e = table(spark, d, "events")
+    return select.task_slice(e, "event_type", select.task_ids(e, "event_type").first()[0]).select("event_id", "value")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' AND o_custkey IS NOT NULL)")
+def join_anti_early(spark, d):
+    """Customers without an order before 1997: unlike join_anti, whose tables share all keys."""
+    early = table(spark, d, "orders").filter("o_orderdate < TIMESTAMP '1997-01-01'").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.unseen(table(spark, d, "customer").select("c_custkey"), early, "c_custkey")
+
+
+@query("SELECT vec_id, label FROM embeddings ORDER BY label, vec_id LIMIT 1")
+def srt_first_rows(spark, d):
+    return select.first_rows(table(spark, d, "embeddings").select("vec_id", "label"), ["label", "vec_id"])
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem")
+def set_distinct(spark, d):
+    return select.distinct_rows(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
+
+
+@query("SELECT CAST(quality AS VARCHAR) AS quality, CAST(NULL AS VARCHAR) AS toxic, count(*) AS n FROM labels GROUP BY quality UNION ALL SELECT NULL, CAST(toxic AS VARCHAR), count(*) FROM labels GROUP BY toxic")
+def set_union_frames(spark, d):
+    x = table(spark, d, "labels").select(F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"))
+    return select.union_all([select.value_counts(x, "quality").select("quality", "n"), select.value_counts(x, "toxic").select("toxic", "n")])
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 9) AS q FROM events GROUP BY event_type")
+def agg_quantile_by(spark, d):
+    return select.quantile(table(spark, d, "events"), "value", 0.5, ["event_type"]).select("event_type", F.round("q", 9).alias("q"))
+
+
+@query("SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 9) AS r FROM lineitem UNION ALL SELECT 'l_discount', 'l_tax', round(corr(l_discount, l_tax), 9) FROM lineitem")
+def agg_correlation(spark, d):
+    return select.correlation(table(spark, d, "lineitem"), [("l_quantity", "l_extendedprice"), ("l_discount", "l_tax")]).withColumn("r", F.round("r", 9))
+
+
+@query(
+    "WITH b AS (SELECT CAST(i AS INTEGER) AS bin, CAST(i * 50 AS DOUBLE) AS low, CAST(i * 50 + 50 AS DOUBLE) AS high FROM range(10) t(i)) "
+    "SELECT bin, low, high, count(value) AS n FROM b LEFT JOIN events ON value >= low AND (value < high OR (bin = 9 AND value = high)) GROUP BY bin, low, high"
+)
+def agg_histogram_edges(spark, d):
+    return select.histogram(table(spark, d, "events"), "value", [50 * i for i in range(11)])
+
+
+@query("SELECT event_type, min(event_id) AS best FROM events e WHERE value = (SELECT max(value) FROM events x WHERE x.event_type = e.event_type) GROUP BY event_type")
+def srt_best_by(spark, d):
+    return select.best(table(spark, d, "events"), F.col("value"), "event_id", ["event_type"])
+
+
+@query("WITH t AS (SELECT p_size, max(p_retailprice) AS top FROM part GROUP BY p_size), f AS (SELECT p_size, top, max(top) OVER (ORDER BY p_size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t) SELECT p_partkey FROM part JOIN f USING (p_size) WHERE p_retailprice = top AND (before IS NULL OR top > before)")
+def srt_undominated(spark, d):
+    return select.undominated(table(spark, d, "part"), "p_retailprice", "p_size").select("p_partkey")
+
+
+_CURVE = "CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity * 1000 AS DOUBLE) AS p FROM lineitem"
+
+
+@query(
+    f"WITH x AS (SELECT {_CURVE}), m AS (SELECT min(y) AS a, max(y) AS b, count(*) AS n FROM x), e AS (SELECT CAST(i AS INTEGER) AS bin, a + (b - a) * i / 15 AS low, CASE WHEN i = 14 THEN b ELSE a + (b - a) * (i + 1) / 15 END AS high, n FROM range(15) r(i), m) "
+    "SELECT bin, round(low, 4) AS edge, (SELECT count(*) FROM x, m WHERE y < high OR bin = 14) / CAST(n AS DOUBLE) AS share_true, (SELECT count(*) FROM x, m WHERE p >= a AND (p < high OR (bin = 14 AND p <= b))) / CAST(n AS DOUBLE) AS share_predicted FROM e"
+)
+def eval_calibration_continuous(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_extendedprice").cast("double").alias("y"), (F.col("l_quantity") * 1000).cast("double").alias("p"))
+    return metrics.cumulative_curve(x).withColumn("edge", F.round("edge", 4))
+
+
+@query(
+    "WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, CAST(label >= 5 AS INTEGER) AS y FROM embeddings), p AS (SELECT a.vec_id, b.y, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM t a JOIN t b ON b.vec_id % 5 <> 0 WHERE a.vec_id % 5 = 0), "
+    "k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d) <= 5) SELECT vec_id, CAST(sum(y) >= 3 AS DOUBLE) AS prediction, round(avg(CAST(y AS DOUBLE)), 9) AS probability FROM k GROUP BY vec_id"
+)
+def est_knn_cls(spark, d):
+    """Votes of the five nearest, for every fifth row as test set."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), (F.col("label") >= 5).cast("double").alias("y"))
+    fitted = Estimator("KNeighborsClassifier", {"n_neighbors": 5}).fit(e.filter("vec_id % 5 <> 0"))
+    return fitted.transform(e.filter("vec_id % 5 = 0")).select("vec_id", "prediction", F.round("probability", 9).alias("probability"))
+
+
+@query("SELECT doc_id, CAST(n_chars >= 1000 AS INTEGER) AS fold_group FROM documents")
+def spl_strata_of_edges(spark, d):
+    return table(spark, d, "documents").select("doc_id", split.stratum(F.col("n_chars").cast("double"), [1000.0]).alias("fold_group"))
+
+
+@query()
+def spl_scaffold(spark, d):
+    """Whole groups (here sources by language) to one side, strata of text length: rows per side, and groups on both."""
+    x = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("core"), F.col("n_chars").cast("double").alias("y"))
+    s = split.scaffold_split(x, "doc_id", "y", "core", cluster=0.0)
+    both = s.groupBy("core").agg(F.count_distinct("_split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("groups_on_both"))
+    return s.groupBy("_split").agg(F.count("*").alias("n")).crossJoin(both)
+
+
+@query()
+def plan_descriptor(spark, d):
+    """A configuration from molecules to scores: canonical keys, composite descriptor, scaffold split, ridge."""
+    from sparkassay.plans import pipeline
+    from sparkassay.plans.config import Build, Dataset
+
+    rows = spark.range(60).select(F.concat(F.repeat(F.lit("C"), (F.col("id") % 12 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("O", "N", "Cl", "c1ccccc1", "C(=O)O"))), (F.col("id") % 5 + 1).cast("int"))).alias("smiles"), (F.col("id") % 12).cast("double").alias("len"))
+    data = Dataset("smiles", "len", molecules=True, split="ScaffoldSplit", split_params={"butina_cluster": 0.0})
+    made = {"name": "CompositeDescriptor", "parameters": {"descriptors": [{"name": "ECFP", "parameters": {"nBits": 64}}, {"name": "UnscaledPhyschemDescriptors"}]}}
+    built = pipeline.build(pipeline.prepared(spark, data, rows), Build(data, "Ridge", {}, made))
+    return spark.createDataFrame([(k, float(v["r2"] if v["r2"] is not None else 0.0), float(v["max_error"])) for k, v in built.scores.items()], "_split string, r2 double, max_error double")
