@@ -617,12 +617,16 @@ def linked_within(sets: list[np.ndarray], comps: list[int], similarity: float) -
     holders, begin = holder[order], np.concatenate(([0], np.cumsum(np.bincount(element))))
     edge = np.concatenate(([0], np.cumsum(size)))
     _, root = np.unique(np.array(comps), return_inverse=True)
-    for i in range(n):
+    waiting = np.ones(n, bool)
+    while True:
+        # What stands outside the largest part is compared with all; the largest part's members need not be.
+        largest = np.bincount(root).argmax() if n else 0
+        left = np.flatnonzero(waiting & (root != largest))
+        if not len(left):
+            return out
+        i = int(left[0])
+        waiting[i] = False
         other = root != root[i]
-        if not other.any():
-            if (root == root[0]).all():
-                break
-            continue
         if size[i]:
             e = element[edge[i] : edge[i + 1]]
             both = np.bincount(np.concatenate([holders[begin[x] : begin[x + 1]] for x in e]), minlength=n)
@@ -633,7 +637,6 @@ def linked_within(sets: list[np.ndarray], comps: list[int], similarity: float) -
             if root[j] != root[i]:
                 out.append((i, j))
                 root[root == root[j]] = root[i]
-    return out
 
 
 def _within(similarity: float):
