@@ -687,8 +687,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Documents of one shingle set are linked to the first of them, which stands for the set.  Candidates are all sets whose
     fingerprints are up to NEAR bits apart and share a key (always, up to four bits; beyond that with falling chance).  A
     candidate is a link if the Jaccard similarity of its shingle sets reaches ``similarity``; texts without words are alike.
-    A first pass verifies the least-distance trees of one table only, so that the second, over all tables, need not try
-    pairs that verified links connect already.  Of what is left, runs with many candidates per member are compared as a
+    A first pass verifies the least-distance trees of one table only, a second all its candidates, a third those of the
+    other tables; none tries pairs that verified links connect already.  Of what is left, runs with many candidates per member are compared as a
     whole in one task, which gives links that connect and not all pairs: no component differs from what all pairs give,
     and rows do not grow with the square of a group.  Of each component the row with the smallest doc_id is kept.
     Null and empty texts are alike; rows with null ids take part and come last.  An empty table gives an empty result.
@@ -712,17 +712,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alike = sets.join(shown, "fp").filter("row <> first").select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b"))
     known = staged(connected_components(linked(staged(same.unionByName(trees).unionByName(alike).distinct(), "pairs"))), "components")
 
-    placed = staged(sets.join(known.withColumnRenamed("node", "first"), "first", "left").select(F.col("first").alias("row"), F.coalesce("root", "first").alias("comp"), *names), "placed")
-    pairs = dense = None
-    for t in range(TABLES):
-        met, many = candidate_pairs(placed.select(F.col(names[t]).alias("fp"), F.col(names[(t + 1) % TABLES]).alias("other"), "comp", "row"))
-        many = many.withColumn("key", F.xxhash64("key", F.lit(t)))
-        pairs, dense = (met, many) if pairs is None else (pairs.unionByName(met), dense.unionByName(many))
-    more = linked(staged(pairs.distinct(), "pairs"))
-    if not dense.isEmpty():
-        more = more.unionByName(staged(dense_links(staged(dense, "dense"), plain, words, similarity), "linked"))
-    parts = staged(connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
-    rooted = staged(marked.select("doc_id", "row").join(parts.withColumnRenamed("node", "row"), "row", "left").select("doc_id", "row", F.coalesce("root", "row").alias("root")), "rooted")
+    # What the first table links need not be tried again by the others.
+    for tables in ([0], range(1, TABLES)):
+        placed = staged(sets.join(known.withColumnRenamed("node", "first"), "first", "left").select(F.col("first").alias("row"), F.coalesce("root", "first").alias("comp"), *names), "placed")
+        pairs = dense = None
+        for t in tables:
+            met, many = candidate_pairs(placed.select(F.col(names[t]).alias("fp"), F.col(names[(t + 1) % TABLES]).alias("other"), "comp", "row"))
+            many = many.withColumn("key", F.xxhash64("key", F.lit(t)))
+            pairs, dense = (met, many) if pairs is None else (pairs.unionByName(met), dense.unionByName(many))
+        more = linked(staged(pairs.distinct(), "pairs"))
+        if not dense.isEmpty():
+            more = more.unionByName(staged(dense_links(staged(dense, "dense"), plain, words, similarity), "linked"))
+        known = staged(connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
+    rooted = staged(marked.select("doc_id", "row").join(known.withColumnRenamed("node", "row"), "row", "left").select("doc_id", "row", F.coalesce("root", "row").alias("root")), "rooted")
     top = staged(rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("top")), "top")
     return rooted.join(top, "root").select("doc_id", F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), "row")
 
