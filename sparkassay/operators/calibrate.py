@@ -13,6 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkassay.functions.ranking import quantile
 from sparkassay.operators import select
 from sparkassay.operators.models import FITTERS, Estimator, Fitted
 from sparkassay.operators.split import class_folds, k_folds
@@ -181,7 +182,8 @@ def calibrated_cv(df: DataFrame, estimator: Estimator, features: str = "features
 
 def conformal_width(residuals: DataFrame, residual: str = "residual", alpha: float = 0.05) -> DataFrame:
     """One row: width of the split-conformal interval, twice the (1 - alpha) quantile of absolute residuals."""
-    return residuals.agg((2 * F.percentile(F.abs(F.col(residual)), F.lit(1 - alpha))).alias("width"))
+    level = quantile(residuals, F.abs(F.col(residual)), 1 - alpha)
+    return residuals.sparkSession.range(1).select((2 * F.lit(level).cast("double")).alias("width"))
 
 
 @dataclass

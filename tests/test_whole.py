@@ -81,3 +81,31 @@ def test_ptr_inverse_holds_in_the_tail(spark):
     got = {r["event_id"]: r["y"] for r in Q["trf_ptr_inverse_all"](spark, "/root/testdata/sf0.01").collect()}
     assert max(values.values()) > 400 and got.keys() == values.keys()
     assert all(abs(got[i] - v) < 2e-4 for i, v in values.items())
+
+
+def test_quantile_in_bounded_parts_is_exact(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sparkassay.functions.ranking import quantile
+
+    rng, inf, nan = random.Random(5), math.inf, math.nan
+    wide = [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(40)] + [1.7e308, -1.7e308, 0.0, -0.0, 5e-324]
+    cases = [[rng.gauss(0, 1) for _ in range(400)], wide, [7.0] * 50 + [7.0000000000000009] * 50 + [None] * 9, [-inf, -inf, 1.0, 2.0, inf, nan, nan], [3.0], [nan], [None]]
+    for values in cases:
+        df = spark.createDataFrame([(x,) for x in values], "x double")
+        for share in (0.05, 1 / 3, 1.0):
+            want = df.agg(F.percentile("x", F.lit(share))).first()[0]
+            got = quantile(df, F.col("x"), share, bins=64, few=2)
+            assert got == want or math.isnan(got) and math.isnan(want), (values[:5], share)
+
+
+def test_conformal_width_holds_no_aggregate_of_all_values(spark, monkeypatch):
+    from sparkassay.operators import calibrate
+
+    residuals = spark.range(1001).selectExpr("CAST(CASE WHEN id % 2 = 0 THEN id ELSE -id END AS DOUBLE) AS residual")
+    monkeypatch.setattr(calibrate.F, "percentile", lambda *_: 1 / 0)
+    assert [r["width"] for r in calibrate.conformal_width(residuals, alpha=0.1).collect()] == [1800.0]
+    assert [r["width"] for r in calibrate.conformal_width(residuals.limit(0)).collect()] == [None]
