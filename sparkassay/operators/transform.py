@@ -19,16 +19,20 @@ class Base(Enum):
 
 @dataclass(frozen=True)
 class Log:
-    """y / 10^conversion, logarithm, optional negation; what has no logarithm is null."""
+    """y / 10^conversion, logarithm, optional negation; what has no logarithm is null, zero too unless ``limits`` gives it its
+    limit, minus infinity, which has an inverse."""
 
     base: Base = Base.LOG10
     negate: bool = False
     conversion: int = 0
+    limits: bool = False
 
     def forward(self, y: Column) -> Column:
         y = y / F.lit(float(10**self.conversion)) if self.conversion else y
         log = {Base.LOG: F.ln, Base.LOG2: F.log2, Base.LOG10: F.log10}[self.base]
         out = F.when(y > 0, log(y))
+        if self.limits:
+            out = out.when(y == 0, F.lit(float("-inf")))
         return -out if self.negate else out
 
     def inverse(self, y: Column) -> Column:

@@ -45,3 +45,11 @@ def test_vector_and_z_scales(spark):
     a, b = df.select(mathx.vector(F.col("v")).alias("v"), z_scales(F.col("s")).alias("z")).collect()
     assert a["v"] == [0.7, 0.8, 1.0] and b["v"] == [None] and b["z"] is None
     assert [round(x, 3) for x in a["z"]] == [0.54, -1.995, 2.155, 0.02, -0.675]
+
+
+def test_log_of_zero(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (-1.0,), (None,)], "y double")
+    for base in Base:
+        plain, limits = Log(base, True, 3), Log(base, True, 3, limits=True)
+        rows = df.select(plain.forward(F.col("y")).alias("p"), limits.forward(F.col("y")).alias("l"), limits.inverse(limits.forward(F.col("y"))).alias("i")).collect()
+        assert [tuple(r) for r in rows] == [(None, math.inf, 0.0)] * 2 + [(None, None, None)] * 2
