@@ -419,11 +419,12 @@ def _set_fingerprints(words: int, tables: int):
     return run
 
 
-_ENTRY = ["key", "fp", "other", "comp", "row"]
+_ENTRY = ["key", "fp", "other", "comp", "row", "third"]
 _ENTRIES = ", ".join(f"{c} long" for c in _ENTRY)
 _MET = f"{_ENTRIES}, block int, a long, b long"
 _CELLS = 1 << 20  # pairs compared at once
-DENSE = 4  # candidates per entry from which a run is compared as a whole
+_EARLIER = [[], [(5, 1)], [(2, 5), (5, 1)]]  # places in an entry of what the tables before the first, second and third go by
+DENSE = 1  # candidates per entry that has any, above which a run is compared as a whole: its entries are then the fewer rows
 HELD = 48 << 20  # bytes of shingle sets that meet in one task
 
 
@@ -436,23 +437,27 @@ def _entry_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(v[row]) for v in part)], names=_ENTRY)
 
 
-def _candidates(x: np.ndarray, i: np.ndarray, j: np.ndarray, places: bool = False) -> tuple[np.ndarray, ...]:
+def _candidates(x: np.ndarray, i: np.ndarray, j: np.ndarray, places: bool = False, table: int = 0) -> tuple[np.ndarray, ...]:
     """Of the pairs i, j of entries, the rows of those near in both tables, not of one component and met under their own key
-    (and their places)."""
+    (and their places), but not those that an earlier table met: they have been, or are, compared there."""
     keep = _close(x[i, 1], x[j, 1], NEAR) & (x[i, 3] != x[j, 3])
     i, j = i[keep], j[keep]
     keep = np.bitwise_count((x[i, 1] ^ x[j, 1]).view(np.uint64)).astype(np.int64) + np.bitwise_count((x[i, 2] ^ x[j, 2]).view(np.uint64)) <= BOTH
     i, j = i[keep], j[keep]
     keep = smallest_shared_key(x[i, 1], x[j, 1]) == x[i, 0]
     i, j = i[keep], j[keep]
+    for fp, other in _EARLIER[table]:
+        apart = [np.bitwise_count((x[i, c] ^ x[j, c]).view(np.uint64)).astype(np.int64) for c in (fp, other)]
+        keep = (apart[0] > NEAR) | (apart[0] + apart[1] > BOTH) | (smallest_shared_key(x[i, fp], x[j, fp]) < 0)
+        i, j = i[keep], j[keep]
     a, b = x[i, 4], x[j, 4]
     return np.minimum(a, b), np.maximum(a, b), *((i, j) if places else ())
 
 
-def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None, many: int = DENSE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None, many: int = DENSE, table: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Candidates among all pairs within whole runs of equal ``group`` (sorted); with two blocks in a run, only pairs across.
 
-    A run with more than ``many`` candidates per entry gives the entries that are in any, by their places in ``x``,
+    A run with more than ``many`` candidates per entry that is in any gives these entries, by their places in ``x``,
     instead of its pairs.
     """
     none = np.array([], np.int64)
@@ -461,10 +466,19 @@ def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None
     short = 16
     if block is None:
         at, end = np.flatnonzero(np.repeat(length <= short, length)), np.repeat(first + length, length)
+        met = []
         for apart in range(1, short):
             at = at[at + apart < end[at]]
             for part in range(0, len(at), _CELLS):
-                yield *_candidates(x, at[part : part + _CELLS], at[part : part + _CELLS] + apart), none
+                met.append(_candidates(x, at[part : part + _CELLS], at[part : part + _CELLS] + apart, True, table))
+        if met:
+            a, b, i, j = map(np.concatenate, zip(*met, strict=True))
+            run = np.repeat(np.arange(len(first)), length)
+            inside = np.unique(np.concatenate((i, j)))
+            many_here = np.bincount(run[i], minlength=len(first)) > many * np.bincount(run[inside], minlength=len(first))
+            listed = ~many_here[run[i]]
+            yield a[listed], b[listed], none
+            yield none, none, inside[many_here[run[inside]]]
     for start, n in zip(first.tolist(), length.tolist(), strict=True):
         if n < 2 or (block is None and n <= short):
             continue
@@ -484,15 +498,16 @@ def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None
             if len(blocks) != 2:
                 near &= i[:, None] < right
             p, q = np.nonzero(near)
-            a, b, i, j = _candidates(run, i[p], right[q], True)
+            a, b, i, j = _candidates(run, i[p], right[q], True, table)
             inside[i] = inside[j] = True
             dense += len(a)
             if dense <= many * n:
                 found.append((a, b))
             else:
                 found = []
-        if dense > many * n:
+        if dense > many * inside.sum():
             yield none, none, start + np.flatnonzero(inside)
+            found = []
         for a, b in found:
             yield a, b, none
 
@@ -505,20 +520,20 @@ def _met(x: np.ndarray, block: np.ndarray | None, a: np.ndarray | None = None, b
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.full(n, -1) if block is None else block, pa.int32()), *(pa.array(c, pa.int64()) for c in pair)], names=[*_ENTRY, "block", "a", "b"])
 
 
-def _meeting(longest: int, many: int):
-    return lambda batches: _meet(batches, longest, many)
+def _meeting(longest: int, many: int, table: int):
+    return lambda batches: _meet(batches, longest, many, table)
 
 
-def _meeting_blocks(many: int):
-    return lambda batches: _meet_blocks(batches, many)
+def _meeting_blocks(many: int, table: int):
+    return lambda batches: _meet_blocks(batches, many, table)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], longest: int, many: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], longest: int, many: int, table: int) -> Iterator[pa.RecordBatch]:
     """Entries sorted by key -> all candidate pairs of each run, the entries of dense runs (block -2), or those of over-long
     runs with the number of their block."""
 
     def found(x):
-        for a, b, dense in _all_pairs(x, x[:, 0], many=many) if len(x) else ():
+        for a, b, dense in _all_pairs(x, x[:, 0], many=many, table=table) if len(x) else ():
             if len(a):
                 yield _met(x, None, a, b)
             if len(dense):
@@ -552,12 +567,12 @@ def _meet(batches: Iterator[pa.RecordBatch], longest: int, many: int) -> Iterato
     yield from found(held)
 
 
-def _meet_blocks(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.RecordBatch]:
+def _meet_blocks(batches: Iterator[pa.RecordBatch], many: int, table: int) -> Iterator[pa.RecordBatch]:
     """As _meet for groups known to hold two blocks at most; within one block, pairs come from its own group."""
     held = np.empty((0, len(_ENTRY) + 2), np.int64)
 
     def found(x):
-        for a, b, dense in _all_pairs(x[:, : len(_ENTRY)], x[:, -1], x[:, -2], many):
+        for a, b, dense in _all_pairs(x[:, : len(_ENTRY)], x[:, -1], x[:, -2], many, table):
             if len(a):
                 yield _met(x, None, a, b)
             if len(dense):
@@ -575,14 +590,17 @@ def _meet_blocks(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.Re
         yield from found(held)
 
 
-def candidate_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(entries: DataFrame, table: int = 0) -> tuple[DataFrame, DataFrame]:
     """(fp, other, comp, row) -> (a, b): every pair of rows that share a key, up to NEAR bits apart in fp and up to BOTH in
-    fp and other together, unless of one comp.  Each pair comes once, under the smallest key it shares.
+    fp and other together, unless of one comp.  Each pair comes once, under the smallest key it shares.  For a ``table``
+    after the first, entries have ``third``, the fingerprint of the table after next, and pairs that an earlier table
+    gives or compares in a dense run are left out.
 
     Pairs of dense runs are not listed: second come (key, row, comp) of these runs' entries, to be compared together.
     """
+    entries = entries if table else entries.withColumn("third", F.lit(0).cast("long"))
     keyed = entries.select(*_ENTRY[1:]).mapInArrow(_entry_keys, _ENTRIES)
-    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting(RUN, DENSE), _MET), "met")
+    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting(RUN, DENSE, table), _MET), "met")
     near, dense = found.filter("block = -1").select("a", "b"), found.filter("block = -2").select("key", "row", "comp")
     heavy = found.filter("block >= 0").select(*_ENTRY, "block")
     if not heavy.isEmpty():
@@ -590,7 +608,7 @@ def candidate_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         blocks = heavy.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
         pairs = heavy.join(blocks, "key").select(*_ENTRY, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
         pairs = pairs.select(*_ENTRY, "block", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("group"))
-        found = staged(pairs.repartition("group").sortWithinPartitions("group").mapInArrow(_meeting_blocks(DENSE), _MET), "met")
+        found = staged(pairs.repartition("group").sortWithinPartitions("group").mapInArrow(_meeting_blocks(DENSE, table), _MET), "met")
         near, dense = near.unionByName(found.filter("block = -1").select("a", "b")), dense.unionByName(found.filter("block = -2").select("key", "row", "comp"))
     return near, dense
 
@@ -717,7 +735,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         placed = staged(sets.join(known.withColumnRenamed("node", "first"), "first", "left").select(F.col("first").alias("row"), F.coalesce("root", "first").alias("comp"), *names), "placed")
         pairs = dense = None
         for t in tables:
-            met, many = candidate_pairs(placed.select(F.col(names[t]).alias("fp"), F.col(names[(t + 1) % TABLES]).alias("other"), "comp", "row"))
+            met, many = candidate_pairs(placed.select(*(F.col(names[(t + n) % TABLES]).alias(c) for n, c in enumerate(("fp", "other", "third"))), "comp", "row"), t)
             many = many.withColumn("key", F.xxhash64("key", F.lit(t)))
             pairs, dense = (met, many) if pairs is None else (pairs.unionByName(met), dense.unionByName(many))
         more = linked(staged(pairs.distinct(), "pairs"))
