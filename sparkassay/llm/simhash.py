@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.llm.common import connected_components, documents, few_or_joined, slices, staged, without_rows
@@ -423,8 +423,9 @@ _ENTRY = ["key", "fp", "other", "comp", "row"]
 _ENTRIES = ", ".join(f"{c} long" for c in _ENTRY)
 _MET = f"{_ENTRIES}, block int, a long, b long"
 _CELLS = 1 << 20  # pairs compared at once
-DENSE = 1  # candidates per entry that has any, above which a run is compared as a whole: its entries are then the fewer rows
+DENSE = 1  # candidates per entry that has any, above which a run gives what they connect: its entries are then the fewer rows
 HELD = 48 << 20  # bytes of shingle sets that meet in one task
+FEWEST, PARTS = 256, 16  # a cluster is cut into PARTS blocks, unless these have fewer than FEWEST rows or HELD asks for more
 
 
 def _entry_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,11 +450,23 @@ def _candidates(x: np.ndarray, i: np.ndarray, j: np.ndarray, places: bool = Fals
     return np.minimum(a, b), np.maximum(a, b), *((i, j) if places else ())
 
 
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least place that each place is connected to by the pairs i, j and by what ``root`` has connected before."""
+    while True:
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return root
+        np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None, many: int = DENSE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Candidates among all pairs within whole runs of equal ``group`` (sorted); with two blocks in a run, only pairs across.
 
-    A run with more than ``many`` candidates per entry that is in any gives these entries, by their places in ``x``,
-    instead of its pairs.
+    A run with more than ``many`` candidates per entry that is in any gives, instead of its pairs, these entries' places
+    in ``x``, each with the first place that candidates connect it to.
     """
     none = np.array([], np.int64)
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
@@ -473,7 +486,8 @@ def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None
             many_here = np.bincount(run[i], minlength=len(first)) > many * np.bincount(run[inside], minlength=len(first))
             listed = ~many_here[run[i]]
             yield a[listed], b[listed], none
-            yield none, none, inside[many_here[run[inside]]]
+            inside, root = inside[many_here[run[inside]]], _joined(np.arange(len(x)), i[~listed], j[~listed])
+            yield none, none, np.stack([inside, root[inside]], axis=1)
     for start, n in zip(first.tolist(), length.tolist(), strict=True):
         if n < 2 or (block is None and n <= short):
             continue
@@ -486,7 +500,7 @@ def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None
         else:
             left = right = np.arange(n)
         step, found, dense = max(1, _CELLS // len(right)), [], 0
-        inside = np.zeros(n, bool)
+        inside, root = np.zeros(n, bool), np.arange(n)
         for at in range(0, len(left), step):
             i = left[at : at + step]
             near = (np.bitwise_count((run[i, 1][:, None] ^ run[right, 1]).view(np.uint64)) <= NEAR) & (run[i, 3][:, None] != run[right, 3])
@@ -495,13 +509,14 @@ def _all_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray | None = None
             p, q = np.nonzero(near)
             a, b, i, j = _candidates(run, i[p], right[q], True)
             inside[i] = inside[j] = True
+            root = _joined(root, i, j)
             dense += len(a)
             if dense <= many * n:
                 found.append((a, b))
             else:
                 found = []
         if dense > many * inside.sum():
-            yield none, none, start + np.flatnonzero(inside)
+            yield none, none, start + np.stack([np.flatnonzero(inside), root[inside]], axis=1)
             found = []
         for a, b in found:
             yield a, b, none
@@ -515,6 +530,13 @@ def _met(x: np.ndarray, block: np.ndarray | None, a: np.ndarray | None = None, b
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.full(n, -1) if block is None else block, pa.int32()), *(pa.array(c, pa.int64()) for c in pair)], names=[*_ENTRY, "block", "a", "b"])
 
 
+def _parts(x: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
+    """Entries of dense runs, under the row of the first place that candidates connect them to."""
+    found = x[dense[:, 0]]
+    found[:, 0] = x[dense[:, 1], 4]
+    return _met(found, np.full(len(found), -2))
+
+
 def _meeting(longest: int, many: int):
     return lambda batches: _meet(batches, longest, many)
 
@@ -524,15 +546,15 @@ def _meeting_blocks(many: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch], longest: int, many: int) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by key -> all candidate pairs of each run, the entries of dense runs (block -2), or those of over-long
-    runs with the number of their block."""
+    """Entries sorted by key -> all candidate pairs of each run, the parts of dense runs (block -2), or the entries of
+    over-long runs with the number of their block."""
 
     def found(x):
         for a, b, dense in _all_pairs(x, x[:, 0], many=many) if len(x) else ():
             if len(a):
                 yield _met(x, None, a, b)
             if len(dense):
-                yield _met(x[dense], np.full(len(dense), -2))
+                yield _parts(x, dense)
 
     held = np.empty((0, len(_ENTRY)), np.int64)
     long_key, passed = None, 0
@@ -571,9 +593,7 @@ def _meet_blocks(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.Re
             if len(a):
                 yield _met(x, None, a, b)
             if len(dense):
-                run = x[dense]
-                run[:, 0] = run[:, -1]  # dense entries go by their group
-                yield _met(run, np.full(len(run), -2))
+                yield _parts(x, dense)
 
     for batch in batches:
         held = np.concatenate((held, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*_ENTRY, "block", "group")], axis=1)))
@@ -589,11 +609,12 @@ def candidate_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fp, other, comp, row) -> (a, b): every pair of rows that share a key, up to NEAR bits apart in fp and up to BOTH in
     fp and other together, unless of one comp.  Each pair comes once, under the smallest key it shares.
 
-    Pairs of dense runs are not listed: second come (key, row, comp) of these runs' entries, to be compared together.
+    Pairs of dense runs are not listed: second come (key, row) of these runs' entries, key being one of the rows that
+    candidates connect the entry's row to.
     """
     keyed = entries.select(*_ENTRY[1:]).mapInArrow(_entry_keys, _ENTRIES)
     found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting(RUN, DENSE), _MET), "met")
-    near, dense = found.filter("block = -1").select("a", "b"), found.filter("block = -2").select("key", "row", "comp")
+    near, dense = found.filter("block = -1").select("a", "b"), found.filter("block = -2").select("key", "row")
     heavy = found.filter("block >= 0").select(*_ENTRY, "block")
     if not heavy.isEmpty():
         # Each block meets each other block of its run (and itself) in a group of its own.
@@ -601,7 +622,7 @@ def candidate_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = heavy.join(blocks, "key").select(*_ENTRY, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
         pairs = pairs.select(*_ENTRY, "block", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("group"))
         found = staged(pairs.repartition("group").sortWithinPartitions("group").mapInArrow(_meeting_blocks(DENSE), _MET), "met")
-        near, dense = near.unionByName(found.filter("block = -1").select("a", "b")), dense.unionByName(found.filter("block = -2").select("key", "row", "comp"))
+        near, dense = near.unionByName(found.filter("block = -1").select("a", "b")), dense.unionByName(found.filter("block = -2").select("key", "row"))
     return near, dense
 
 
@@ -609,7 +630,7 @@ def _hash_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [np.unique(_shingle_hashes(t, words)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.binary())], names=["row", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "row", "comp")), pa.array(sets, pa.binary())], names=["cluster", "row", "comp", "shingles"])
 
     return run
 
@@ -672,22 +693,22 @@ def _within(similarity: float):
     return run
 
 
-def dense_links(dense: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, row, comp) entries of dense runs -> links (a, b) that connect all that are alike in a run.
+def cluster_links(members: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(cluster, row, comp), a row in one cluster -> links (a, b) that connect all that are alike in a cluster.
 
-    Each run meets its members' shingle sets in one task and gives a spanning forest at most, so rows grow with the
-    run, not with its square.  Runs of more than ``HELD`` bytes of sets are cut into blocks, and pairs of blocks are
-    groups of their own.
+    Each row's shingle set goes to every pair of its cluster's blocks that has its own, so no pair of a cluster is left
+    out, and a group gives a spanning forest at most.  Blocks are PARTS at most as long as two of them are within HELD:
+    up to there, rows grow with the cluster and not with its square.
     """
-    nodes = staged(dense.select("row").distinct(), "nodes")
-    sets = staged(few_or_joined(plain.select("row", "text"), nodes, "row").mapInArrow(_hash_sets(words), "row long, shingles binary"), "sets")
-    upto = Window.partitionBy("key").orderBy("row")
-    rows = dense.distinct().join(sets, "row")
-    sizes = rows.select("key", "row", F.floor(F.sum(F.octet_length("shingles") + 64).over(upto) / F.lit(HELD)).cast("int").alias("block"))
-    blocks = sizes.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
-    dealt = sizes.join(blocks, "key").select("key", "row", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("key", "row", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("group"))
-    rows = rows.join(dealt, ["key", "row"]).select("group", "row", "comp", "shingles")
+    members = staged(members.select("cluster", "row", "comp"), "members")
+    sets = staged(few_or_joined(plain.select("row", "text"), members, "row").select("cluster", "row", "comp", "text").mapInArrow(_hash_sets(words), "cluster long, row long, comp long, shingles binary"), "sets")
+    size = F.sum(F.octet_length("shingles").cast("long") + 64)
+    held = F.when(size <= HELD, 1).otherwise(F.ceil(2 * size / F.lit(HELD)))
+    cuts = sets.groupBy("cluster").agg(F.greatest(held, F.least(F.lit(PARTS), F.ceil(F.count("*") / F.lit(FEWEST)))).cast("int").alias("blocks"), F.min("comp").alias("one"), F.max("comp").alias("other"))
+    cuts = staged(cuts.filter("one <> other").select("cluster", "blocks"), "cuts")
+    rows = few_or_joined(sets, cuts, "cluster").withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
+    rows = rows.select("cluster", "row", "comp", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    rows = rows.select(F.xxhash64("cluster", F.least("block", "with"), F.greatest("block", "with")).alias("group"), "row", "comp", "shingles")
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_within(similarity), "a long, b long")
 
 
@@ -698,9 +719,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fingerprints are up to NEAR bits apart and share a key (always, up to four bits; beyond that with falling chance).  A
     candidate is a link if the Jaccard similarity of its shingle sets reaches ``similarity``; texts without words are alike.
     A first pass verifies the least-distance trees of one table only, a second all its candidates, a third those of the
-    other tables; none tries pairs that verified links connect already.  Of what is left, runs with many candidates per member are compared as a
-    whole in one task, which gives links that connect and not all pairs: no component differs from what all pairs give,
-    and rows do not grow with the square of a group.  Of each component the row with the smallest doc_id is kept.
+    other tables; none tries pairs that verified links connect already.  Of what is left, runs with many candidates per
+    member do not list them: what these candidates connect, with the components it touches, is a cluster, and of clusters
+    all pairs are compared, each row once and not under each of its keys.  Later tables leave out pairs of one cluster.
+    Every candidate is thus verified, as a pair or in its cluster.  Of each component the row with the smallest doc_id is
+    kept.
     Null and empty texts are alike; rows with null ids take part and come last.  An empty table gives an empty result.
     """
     plain = documents(docs, id_col, text_col, row_col)
@@ -722,18 +745,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alike = sets.join(shown, "fp").filter("row <> first").select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b"))
     known = staged(connected_components(linked(staged(same.unionByName(trees).unionByName(alike).distinct(), "pairs"))), "components")
 
-    # What the first table links need not be tried again by the others.
+    # What the first table links or compares need not be tried again by the others.
+    edges = lambda parts: parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    settled = known
     for tables in ([0], range(1, TABLES)):
-        placed = staged(sets.join(known.withColumnRenamed("node", "first"), "first", "left").select(F.col("first").alias("row"), F.coalesce("root", "first").alias("comp"), *names), "placed")
+        placed = staged(sets.join(settled.withColumnRenamed("node", "first"), "first", "left").select(F.col("first").alias("row"), F.coalesce("root", "first").alias("comp"), *names), "placed")
         pairs = dense = None
         for t in tables:
             met, many = candidate_pairs(placed.select(F.col(names[t]).alias("fp"), F.col(names[(t + 1) % TABLES]).alias("other"), "comp", "row"))
-            many = many.withColumn("key", F.xxhash64("key", F.lit(t)))
             pairs, dense = (met, many) if pairs is None else (pairs.unionByName(met), dense.unionByName(many))
-        more = linked(staged(pairs.distinct(), "pairs"))
+        known = staged(connected_components(edges(known).unionByName(linked(staged(pairs.distinct(), "pairs")))), "components")
+        settled, dense = known, staged(dense.distinct(), "dense")
         if not dense.isEmpty():
-            more = more.unionByName(staged(dense_links(staged(dense, "dense"), plain, words, similarity), "linked"))
-        known = staged(connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
+            # Whole components are in a cluster or outside, so links within clusters leave each component in one of them.
+            settled = staged(connected_components(edges(known).unionByName(dense.select(F.col("key").alias("a"), F.col("row").alias("b")))), "clusters")
+            touched = staged(settled.join(dense.select(F.col("row").alias("node")).distinct(), "node", "left_semi").select("root").distinct(), "touched")
+            members = few_or_joined(settled, touched, "root", "left_semi").select(F.col("node").alias("row"), F.col("root").alias("cluster")).join(placed.select("row"), "row", "left_semi")
+            members = members.join(known.withColumnRenamed("node", "row"), "row", "left").select("cluster", "row", F.coalesce("root", "row").alias("comp"))
+            found = staged(cluster_links(members, plain, words, similarity), "linked")
+            known = staged(connected_components(edges(known).unionByName(found)), "components")
     rooted = staged(marked.select("doc_id", "row").join(known.withColumnRenamed("node", "row"), "row", "left").select("doc_id", "row", F.coalesce("root", "row").alias("root")), "rooted")
     top = staged(rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("top")), "top")
     return rooted.join(top, "root").select("doc_id", F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), "row")

@@ -181,3 +181,44 @@ def test_a_run_gives_no_more_rows_than_it_has_entries():
         run = x[x[:, 0] == key]
         rows[key] = sum(len(a) + len(dense) for a, _, dense in simhash._all_pairs(run, run[:, 0], many=simhash.DENSE))
     assert sum(rows.values()) > 1000 and all(rows[k] <= entries[k] for k in entries)
+
+
+def test_dense_runs_pass_each_row_once(spark, monkeypatch):
+    """Not once under each of its keys; and what one table's clusters settle is not passed on again by the others."""
+    texts = _family(160)
+    want, _ = _components(texts)
+    given, cut = [], simhash.cluster_links
+    monkeypatch.setattr(simhash, "DENSE", 0)
+    monkeypatch.setattr(simhash, "NEAR", 20)  # candidates enough that one cluster has all
+    monkeypatch.setattr(simhash, "BOTH", 44)
+    monkeypatch.setattr(simhash, "cluster_links", lambda members, *rest: (given.append(sorted(r["row"] for r in members.collect())), cut(members, *rest))[1])
+    got = _grouped(spark, texts)
+    assert given and all(len(rows) == len(set(rows)) for rows in given) and len(given[0]) > 100
+    assert sum(map(len, given)) < 2 * len(texts)
+    assert all(want[i] == want[g] for i, g in enumerate(got))
+
+
+def test_dense_runs_join_only_what_candidates_connect():
+    """Two families that share a key are two parts of its run."""
+    one, other = 0b1011 << 40, (0b1011 << 40) ^ ((1 << 18) - 1 << 46)
+    x = np.array([(7, base ^ (1 << k), 0, k + at, k + at) for base, at in ((one, 0), (other, 100)) for k in range(20)], np.uint64).view(np.int64)
+    x[:, 0] = 7
+    keep, simhash.smallest_shared_key = simhash.smallest_shared_key, lambda a, b: np.full(len(a), 7)
+    try:
+        dense = np.concatenate([d.reshape(-1, 2) for _, _, d in simhash._all_pairs(x, x[:, 0], many=1)])
+    finally:
+        simhash.smallest_shared_key = keep
+    assert sorted(dense.tolist()) == [[i, 0 if i < 20 else 20] for i in range(40)]
+
+
+def test_clusters_are_compared_whole_in_blocks(spark, monkeypatch):
+    texts = _family(90)
+    want, _ = _components(texts)
+    monkeypatch.setattr(simhash, "FEWEST", 10)
+    plain = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    members = spark.createDataFrame([(5, i, i) for i in range(90)], "cluster long, row long, comp long")
+    links = simhash.cluster_links(members, plain, 5, 0.8).collect()
+    root = list(range(90))
+    for r in links:
+        root = [min(root[r["a"]], root[r["b"]]) if x in (root[r["a"]], root[r["b"]]) else x for x in root]
+    assert root == want
