@@ -754,16 +754,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for t in tables:
             met, many = candidate_pairs(placed.select(F.col(names[t]).alias("fp"), F.col(names[(t + 1) % TABLES]).alias("other"), "comp", "row"))
             pairs, dense = (met, many) if pairs is None else (pairs.unionByName(met), dense.unionByName(many))
-        known = staged(connected_components(edges(known).unionByName(linked(staged(pairs.distinct(), "pairs")))), "components")
-        settled, dense = known, staged(dense.distinct(), "dense")
+        more, dense = edges(known).unionByName(linked(staged(pairs.distinct(), "pairs"))), staged(dense.distinct(), "dense")
         if not dense.isEmpty():
             # Whole components are in a cluster or outside, so links within clusters leave each component in one of them.
-            settled = staged(connected_components(edges(known).unionByName(dense.select(F.col("key").alias("a"), F.col("row").alias("b")))), "clusters")
+            settled = staged(connected_components(more.unionByName(dense.select(F.col("key").alias("a"), F.col("row").alias("b")))), "clusters")
             touched = staged(settled.join(dense.select(F.col("row").alias("node")).distinct(), "node", "left_semi").select("root").distinct(), "touched")
             members = few_or_joined(settled, touched, "root", "left_semi").select(F.col("node").alias("row"), F.col("root").alias("cluster")).join(placed.select("row"), "row", "left_semi")
             members = members.join(known.withColumnRenamed("node", "row"), "row", "left").select("cluster", "row", F.coalesce("root", "row").alias("comp"))
             found = staged(cluster_links(members, plain, words, similarity), "linked")
-            known = staged(connected_components(edges(known).unionByName(found)), "components")
+            more = more.unionByName(found)
+        known = staged(connected_components(more), "components")
+        settled = known if dense.isEmpty() else settled
     rooted = staged(marked.select("doc_id", "row").join(known.withColumnRenamed("node", "row"), "row", "left").select("doc_id", "row", F.coalesce("root", "row").alias("root")), "rooted")
     top = staged(rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("top")), "top")
     return rooted.join(top, "root").select("doc_id", F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), "row")
