@@ -248,6 +248,19 @@ def test_repeated_substrings(spark, docs, empty):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("sparkassay_texts")]
 
 
+def test_planted_passages_are_told_by_bytes_removed(spark):
+    """Passages of over 50 words in texts that are otherwise unlike: n_removed tells which have 400 bytes, n_bytes tells nothing."""
+    long, short = words(200, 90), " ".join(w[:5] for w in words(201, 60).split())
+    assert len(short.split()) > 50 and len(short) < 400 <= len(long)
+    hosts = [words(210 + n, 60 + 9 * n) for n in range(9)]
+    texts = [f"{h[: 40 + 31 * n]} {p} {h[40 + 31 * n :]}" for n, (h, p) in enumerate(zip(hosts, [long] * 3 + [short] * 3 + [""] * 3, strict=True))]
+    got = _removed(spark, texts)
+    assert got == _removed_slowly([t.encode() for t in texts])
+    assert [g[0] for g in got] == [len(t) for t in texts]
+    assert all(len(long) <= g[1] <= len(long) + 4 and g[2] == 1 for g in got[:3])
+    assert all(g[1:3] == (0, 0) for g in got[3:])
+
+
 def test_passages_in_many_surroundings(spark, monkeypatch):
     """Groups of many contexts are halved until they are small: passages, a frequent line, periods, an unequal byte."""
     monkeypatch.setattr(suffix, "HOT", 3)
